@@ -16,6 +16,8 @@ PIECE = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BREAK = np.zeros(256, bool)  # ASCII characters that are neither letters nor digits
+_BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -99,9 +101,9 @@ class Texts:
         at = np.searchsorted(positions, self.offsets)
         return np.diff(at)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, words per text)."""
-        space = _SPACE[self.data]
+    def words(self, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, words per text). Words end at ASCII white space; plain ones at any ASCII character but letters and digits."""
+        space = (_BREAK if plain else _SPACE)[self.data]
         n = len(space)
         if not n:
             none = np.zeros(0, np.int64)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, sharding
+from . import language_id, mixing, quality, sharding, toxicity
 
-_MODULES = (mixing, language_id, sharding)
+_MODULES = (mixing, language_id, sharding, quality, toxicity)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
