@@ -95,3 +95,53 @@ class Memory:
             if p[:1] != " ":
                 held[p] = len(encode(self.path, p))
         return [sum(map(held.__getitem__, parts)) for parts in split]
+
+
+class Pieces(Memory):
+    """Also keeps the ids of each piece, in one array for each process."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.kept: dict = _loaded.setdefault(f"{path}#ids", {"at": {}, "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int64), "used": 0})
+
+    def _keep(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        kept = self.kept
+        n, used = len(kept["at"]), kept["used"]
+        while used + len(ids) > len(kept["ids"]):
+            kept["ids"] = np.concatenate([kept["ids"], np.zeros_like(kept["ids"])])
+        while n + len(names) + 1 > len(kept["begin"]):
+            kept["begin"] = np.concatenate([kept["begin"], np.zeros_like(kept["begin"])])
+        kept["ids"][used : used + len(ids)] = ids
+        kept["begin"][n + 1 : n + 1 + len(names)] = used + np.cumsum(counts)
+        kept["used"] = used + len(ids)
+        kept["at"].update(zip(names, range(n, n + len(names))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some plain texts on end, ids per text)."""
+        at, parts, sizes = self.kept["at"], [], []
+        for text in texts:
+            own = text.split(" ")
+            parts.append(own[0])
+            parts.extend([" " + p for p in own[1:]])
+            sizes.append(len(own))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        unknown = {p for p in parts if p not in at}
+        if len(at) + len(unknown) > MEMORY:
+            at.clear()
+            self.kept["used"] = 0
+            unknown = set(parts)
+        later = [p for p in unknown if p[:1] == " "]
+        self._keep(later, *self.ids(later))
+        for p in unknown:  # at a text's beginning
+            if p[:1] != " ":
+                ids = encode(self.path, p)
+                self._keep([p], ids, np.array([len(ids)]))
+        which = np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
+        begin = self.kept["begin"][which]
+        counts = self.kept["begin"][which + 1] - begin
+        ends = np.cumsum(counts)
+        ids = self.kept["ids"][np.arange(int(ends[-1])) + np.repeat(begin - (ends - counts), counts)]
+        total = np.concatenate([[0], ends])
+        upto = np.cumsum(sizes)
+        return ids, total[upto] - total[upto - np.array(sizes)]
