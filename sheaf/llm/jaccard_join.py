@@ -302,7 +302,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     members = lists.select("list", F.explode("nodes").alias("node"), F.col("nodes")[0].alias("least"))
     first = members.filter("node != least").groupBy("node").agg(F.min("least").alias("a"))
     first = cut(first.select("a", F.col("node").alias("b")))
-    needed = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    needed = members.select("node").distinct()
     folder = new_folder(spark, "join-texts")
     chosen = nodes.join(needed, "node").select("node", "rep")
     picked = slim.join(chosen, slim["doc_id"] == chosen["rep"]).select("node", "text").mapInArrow(_own, "node long, text string, size long, parity binary")
