@@ -51,39 +51,34 @@ def mix_sources(df: DataFrame, source: str, size: str, weight: str, order: list[
     hold any share of all rows. The number of distinct sources must fit the driver, as their targets do.
 
     Null or empty texts have size 0 and are taken 0 words; null sources are one source, the last; equal keys (repeated
-    rows) are ordered by the order columns, and rows equal in all of them share their place in a way that
-    depends on nothing but how many there are; an empty table gives none; other columns are carried along.
+    rows) are ordered by the order columns, and rows equal in all of them are taken or left together; an empty table gives none; other columns are carried along.
     """
+    spark = df.sparkSession
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *order), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = df.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long")).withColumn("sampling_key", -F.log(u) / F.greatest(F.coalesce(F.col(weight), F.lit(1.0)), F.lit(1e-6)))
-    keyed = cut(keyed.withColumn("__bucket", F.floor((1.0 - F.exp(-F.col("sampling_key"))) * BUCKETS).cast("int")))
-    buckets = cut(keyed.groupBy(source, "__bucket").agg(F.sum(size).alias("__size")))
-    sizes = [(r[0], r[1] or 0) for r in buckets.groupBy(source).agg(F.sum("__size")).collect()]  # a row for each source
-    if not sizes:
-        extra = {"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "repeats": F.lit(0), "taken": F.lit(0).cast("long")}
-        return keyed.withColumns(extra).drop("__bucket")
-    target = source_targets(sizes, weights, share, most)
-    plan = df.sparkSession.createDataFrame([(s, n, float(target[s]), int(target[s] // n) if n else 0, float(target[s] - n * (target[s] // n)) if n else 0.0) for s, n in sizes], "__source string, source_size long, target double, __epochs int, __rest double")
-    upto = Window.partitionBy(source).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = keyed.withColumn("__bucket", F.floor((1.0 - F.exp(-F.col("sampling_key"))) * BUCKETS).cast("int"))
+    place = F.struct("sampling_key", *order, size)
+    slim = cut(keyed.select(F.col(source).alias("__s"), "__bucket", F.col(size).alias("__size"), place.alias("__place")))
+    buckets = cut(slim.groupBy("__s", "__bucket").agg(F.sum("__size").alias("__size")))
+    sizes = [(r[0], r[1] or 0) for r in buckets.groupBy("__s").agg(F.sum("__size")).collect()]  # a row for each source
+    target = source_targets(sizes, weights, share, most) if sizes else {}
+    epochs = {s: int(target[s] // n) if n else 0 for s, n in sizes}
+    plan = spark.createDataFrame([(s, n, float(target[s]), epochs[s], float(target[s] - n * epochs[s])) for s, n in sizes], "__source string, source_size long, target double, __epochs int, __rest double")
+    before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        buckets.withColumn("__before", F.coalesce(F.sum("__size").over(upto), F.lit(0)))
-        .join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("__source")))
+        buckets.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+        .join(F.broadcast(plan), F.col("__s").eqNullSafe(F.col("__source")))
         .filter((F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__size") >= F.col("__rest")))
-        .select("__source", F.col("__bucket").alias("__edge"), F.col("__before").alias("__edge_before"))
-    )
-    edges = {r[0]: (r[1], r[2]) for r in edges.collect()}  # one for each source at most
-    plan = df.sparkSession.createDataFrame(
-        [(s, n, float(target[s]), int(target[s] // n) if n else 0, float(target[s] - n * (target[s] // n)) if n else 0.0, *edges.get(s, (-1, 0))) for s, n in sizes],
-        "__source string, source_size long, target double, __epochs int, __rest double, __edge int, __edge_before long",
-    )
-    known = keyed.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    on_edge = F.col("__bucket") == F.col("__edge")
-    along = Window.partitionBy(source).orderBy("sampling_key", *order, size).rowsBetween(Window.unboundedPreceding, 0)
-    edge = known.filter(on_edge).withColumn("__upto", F.sum(size).over(along) + F.col("__edge_before"))
-    edge = edge.withColumn("__more", ((F.col("__upto") - F.col(size) / 2) < F.col("__rest")).cast("int")).drop("__upto")
-    rest = known.filter(~on_edge).withColumn("__more", (F.col("__bucket") < F.col("__edge")).cast("int"))
-    out = rest.unionByName(edge).withColumn("repeats", F.col("__epochs") + F.col("__more"))
-    return out.withColumn("taken", (F.col(size) * F.col("repeats")).cast("long")).drop("__bucket", "__epochs", "__rest", "__edge", "__edge_before", "__more")
+        .select("__source", F.col("__bucket").alias("__edge"), "__before", "__rest")
+    )  # a row for each source at most
+    upto = F.sum("__size").over(Window.partitionBy("__s").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    within = slim.join(F.broadcast(edges), F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__edge"))).withColumn("__upto", upto)
+    last = within.groupBy("__source").agg(F.first("__edge").alias("__edge"), F.max(F.when(F.col("__upto") - F.col("__size") / 2 < F.col("__rest"), F.col("__place"))).alias("__last"))
+    plan = cut(plan.join(last.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s"))
+    known = keyed.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("__source")))
+    chosen = (F.col("__bucket") < F.col("__edge")) | ((F.col("__bucket") == F.col("__edge")) & (place <= F.col("__last")))
+    out = known.withColumn("repeats", F.col("__epochs") + F.coalesce(chosen.cast("int"), F.lit(0)))
+    return out.withColumn("taken", (F.col(size) * F.col("repeats")).cast("long")).drop("__bucket", "__source", "__epochs", "__rest", "__edge", "__last")
 
 
 def sized(docs: DataFrame) -> DataFrame:
