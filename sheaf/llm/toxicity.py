@@ -94,14 +94,14 @@ def _places(feature: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 
 def _one_of_each(x: Rows) -> np.ndarray:
-    """One row of each group of copies (rows whose three smallest-hash buckets agree), so that a text copied often
+    """One row of each group of copies (rows whose six least-hash buckets agree), so that a text copied often
     doesn't make all its words look telling."""
     if not len(x.index):
         return np.arange(len(x.counts)) < 1
     filled = np.flatnonzero(x.counts)
     begins = (np.cumsum(x.counts) - x.counts)[filled]
-    sketch = np.zeros((len(x.counts), 3), np.uint64)
-    for k in range(3):
+    sketch = np.zeros((len(x.counts), 6), np.uint64)
+    for k in range(6):
         sketch[filled, k] = np.minimum.reduceat(mix(x.index.astype(np.uint64) + np.uint64((k + 1) << 40)), begins)
     _, first = np.unique(sketch, axis=0, return_index=True)
     keep = np.zeros(len(x.counts), bool)
