@@ -4,9 +4,9 @@ Two sets of sizes r <= s with similarity t or more differ in at most ``(r + s)(1
 the universe of elements into segments; if the segments' thresholds add up to more than that, then in some segment the
 sets differ in fewer elements than its threshold (pigeonhole). A segment with threshold 1 is indexed by its
 subset; one with threshold 2 also by the subset's one-deletion neighbourhood. How many of either kind a band of sizes
-gets is chosen by cost. Empty contents are not indexed, as they say nothing: a set whose remaining thresholds still add
-up to enough is safe without them, and a pair is found if one of its two sets is safe; the few sets that are not
-index their empty contents too. Candidates are verified on the full sets.
+gets is chosen by cost. Contents of less than two elements are not indexed, as they are shared by chance: a set whose
+remaining thresholds still add up to enough is safe without them, and a pair is found if one of its two sets is safe; the
+few sets that are not index these contents too. Candidates are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ SHINGLE = 5
 NUM, DEN = 80, 100
 #: Ratio of a band's greatest size to the next lower band's.
 BAND = 1.25
-#: Bits of the parity vector by which pairs of a shared content are compared before their sets are.
+#: Least bits of the parity vector by which pairs of a shared content are compared before their sets are.
 PARITY = 2048
+#: Elements up to which a segment's content is light: not indexed by safe sets.
+LIGHT = 1
 #: Documents of a chunk whose signatures leave a task together.
 CHUNK = 8192
 
@@ -89,16 +91,16 @@ def allocation(band: int) -> tuple[int, int]:
     need = most_different(top, top) + 1
     best = None
     for twos in {0, 1, 2, 3, need // 2, (need + 1) // 2}:
-        for spare in range(0, 12 + need // 8):
+        for spare in range(0, 12 + need // 4):
             ones = need + spare - 2 * twos
             if ones < 0 or ones + twos == 0:
                 continue
             share = top / (ones + 2 * twos)
-            lost = ones * math.exp(-share) + twos * math.exp(-2 * share) * (2 + 2 * share)
+            lost = ones * math.exp(-share) * (1 + share) + twos * math.exp(-2 * share) * (2 + 4 * share + 2 * share * share)
             over = 0.5 * math.erfc((spare + 0.5 - lost) / math.sqrt(2 * (lost + 1e-9))) if lost > 1e-6 and top > 1 else 0.0
             if ones + twos == 1:
                 over = 0.0
-            cost = ones + twos * (1 + 2 * share) + over * 3000
+            cost = ones + twos * (1 + 2 * share) + over * 200
             if best is None or cost < best[0]:
                 best = (cost, ones, twos)
     return best[1], best[2]
@@ -119,22 +121,38 @@ def signatures(elements: np.ndarray) -> np.ndarray:
         end = np.cumsum(size)
         content = total[end] - total[end - size]
         salt = mix(np.uint64(band << 32) + np.arange(segments, dtype=np.uint64))
-        strength = np.where(np.arange(segments) < ones, np.minimum(size, 1), np.minimum(size, 2))
+        strength = np.clip(size - LIGHT, 0, np.where(np.arange(segments) < ones, 1, 2))
         safe = strength.sum() > most_different(n, min(band_top(band), n * DEN // NUM))
-        shown = size > 0 if safe else size >= 0
+        shown = size > LIGHT if safe else size >= 0
         out.append(mix(content[shown] + salt[shown]))
         if twos:
             wide = segment >= ones
             if safe:
-                wide &= size[segment] > 1
+                wide &= size[segment] > LIGHT + 1
             out.append(mix(content[segment[wide]] - weight[wide] + salt[segment[wide]]))
     return np.unique(np.concatenate(out))
 
 
 def parity(elements: np.ndarray) -> bytes:
-    """A bit for each of PARITY classes of elements: whether the set has an odd number of it. Two vectors differ in no
-    more bits than the sets in elements."""
-    return np.packbits(np.bincount((elements % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8).tobytes()
+    """A bit for each class of elements: whether the set has an odd number of it. Two vectors differ in no more bits than
+    the sets in elements. There are PARITY classes, doubled until they are as many as elements; a longer vector's
+    halves can be folded onto each other by exclusive or."""
+    bits = PARITY
+    while bits < len(elements):
+        bits *= 2
+    return np.packbits(np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
+
+
+def _folded(vectors: list[bytes]) -> np.ndarray:
+    """Parity vectors of the shortest's length, a row for each."""
+    words = min(map(len, vectors)) // 8
+    out = np.empty((len(vectors), words), np.uint64)
+    for i, v in enumerate(vectors):
+        x = np.frombuffer(v, np.uint64)
+        while len(x) > words:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -225,34 +243,52 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column("a").filter(pa.array(keep)), piece.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def _fits(vector: np.ndarray, size: np.ndarray, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(bits in which the rows' vectors differ from all, whether sizes and bits leave a link possible)."""
+    apart = np.bitwise_count(vector[rows, None, :] ^ vector[None, :, :]).sum(2, dtype=np.int32)
+    ours, all_ = size[rows, None], size[None, :]
+    return apart, (apart <= (ours + all_) * (DEN - NUM) // (DEN + NUM)) & (DEN * np.minimum(ours, all_) >= NUM * np.maximum(ours, all_))
 
 
 def _across(nearest: bool):
-    """For one list: pairs of nodes of different components whose sizes and parity vectors don't rule a link out; with
-    nearest, of those only the closest one for each node and other component."""
+    """For one list: pairs of nodes of different components that sizes and parity vectors don't rule out. With nearest
+    only those that would join the components by least distances (a spanning forest), else all."""
 
     def pairs(table: pa.Table) -> pa.Table:
         node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "size"))
-        vector = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(node), -1)
-        order = np.lexsort((node, root))
-        node, root, size, vector = node[order], root[order], size[order], vector[order]
-        a, b = [], []
-        block = max(1, 4_000_000 // (len(node) * vector.shape[1]))
-        for at in range(0, len(node), block):
-            mine = slice(at, at + block)
-            apart = np.bitwise_count(vector[mine, None, :] ^ vector[None, :, :]).sum(2)
-            least = (size[mine, None] + size[None, :]) * (DEN - NUM) // (DEN + NUM)
-            fits = (apart <= least) & (root[mine, None] != root[None, :]) & (DEN * np.minimum(size[mine, None], size[None, :]) >= NUM * np.maximum(size[mine, None], size[None, :]))
-            i, j = np.nonzero(fits)
-            if nearest and len(i):
-                rank = np.lexsort((apart[i, j], root[j], i))
-                i, j = i[rank], j[rank]
-                first = np.ones(len(i), bool)
-                first[1:] = (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])
-                i, j = i[first], j[first]
-            a.append(np.minimum(node[i + at], node[j])), b.append(np.maximum(node[i + at], node[j]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        vector = _folded(table.column("parity").to_pylist())
+        n = len(node)
+        label = np.unique(root, return_inverse=True)[1]
+        block = max(1, 1_000_000 // (n * vector.shape[1]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while True:
+            found = 0
+            best = np.full((n, 2), -1, np.int64)  # distance and place of the nearest node of another component
+            for at in range(0, n, block):
+                apart, fits = _fits(vector, size, slice(at, at + block))
+                fits &= label[at : at + block, None] != label[None, :]
+                if not nearest:
+                    i, j = np.nonzero(fits)
+                    a.append(i[i + at < j] + at), b.append(j[i + at < j])
+                    continue
+                apart[~fits] = 1 << 30
+                j = apart.argmin(1)
+                d = apart[np.arange(len(j)), j]
+                best[at : at + block, 0], best[at : at + block, 1] = d, np.where(d < 1 << 30, j, -1)
+            if not nearest:
+                break
+            has = np.flatnonzero(best[:, 1] >= 0)
+            order = has[np.lexsort((has, best[has, 0], label[has]))]
+            first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])] if len(order) else order
+            found = len(first)
+            if not found:
+                break
+            a.append(first), b.append(best[first, 1])
+            for x, y in zip(first.tolist(), best[first, 1].tolist()):
+                if label[x] != label[y]:
+                    label[label == label[x]] = label[y]
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
     return pairs
 
@@ -324,7 +360,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         pairs = several.groupBy("list").applyInArrow(_across(nearest), "a long, b long").distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         more = verified(pairs)
-        tested = tested.unionByName(pairs)
+            tested = tested.unionByName(pairs)
         links = links.unionByName(more)
         root = cut(roots(links))
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
