@@ -96,6 +96,17 @@ class Texts:
         spans = (self._prefix[ends] - self._prefix[starts]) * _power("inverse", _INVERSE, len(self.data) + 1)[starts]
         return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def grams(self, size: int) -> np.ndarray:
+        """64-bit hash of each run of ``size`` bytes, runs over the ends of texts among them."""
+        n = len(self.data)
+        self.hashes(np.zeros(0, np.int64), np.zeros(0, np.int64))  # makes the prefix sums
+        spans = self._prefix[size:] - self._prefix[: n + 1 - size]
+        spans *= _power("inverse", _INVERSE, n + 1)[: len(spans)]
+        spans ^= spans >> np.uint64(31)
+        spans *= np.uint64(0x94D049BB133111EB)
+        spans ^= spans >> np.uint64(29)
+        return spans
+
     def per_text(self, positions: np.ndarray) -> np.ndarray:
         """Ascending positions counted by text."""
         at = np.searchsorted(positions, self.offsets)

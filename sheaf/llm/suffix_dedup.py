@@ -34,10 +34,20 @@ from ._text import Texts, mix, pieces
 SIZE, GRAM = 50, 16
 SPAN = SIZE - GRAM + 1
 #: Bytes of text of a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _words(text: np.ndarray, more: int) -> np.ndarray:
+    """The eight bytes from each position on as a big-endian number, zeros after the end, and so for ``more`` positions beyond."""
+    n = len(text) + more
+    out = np.zeros(n + 8, np.uint64)
+    out[: len(text)] = text
+    for step in (1, 2, 4):
+        out[:-step] = out[:-step] << np.uint64(8 * step) | out[step:]
+    return out[:n]
+
+
 def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of all suffixes of a byte array in ascending order of their first ``depth`` bytes (at least; equal ones in
     any order). A suffix that ends sorts before its continuations."""
@@ -52,7 +62,7 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     inside = run < len(differs)
     rise[: n - 1][inside] = up[run[inside]]
     direct = np.flatnonzero(rise)
-    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    eight = _words(text, depth + 16)
     words = -(-(depth + 8) // 8)
     order = np.arange(len(direct))
     group = np.zeros(len(direct), np.int64)  # of suffixes that are equal so far
@@ -60,11 +70,8 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(words):  # by eight bytes at a time, only where the bytes before are equal
         if not len(open_):
             break
-        at = direct[order[open_]] + 8 * k
-        key = np.zeros(len(at), np.uint64)
-        for j in range(8):
-            key = key << np.uint64(8) | padded[np.minimum(at + j, n + depth)].astype(np.uint64)
-        rank = np.lexsort((key, group[open_]))
+        key = eight[direct[order[open_]] + 8 * k]
+        rank = np.lexsort((key, group[open_])) if k else np.argsort(key, kind="stable")
         order[open_] = order[open_][rank]
         key, own = key[rank], group[open_]
         new = np.ones(len(open_), bool)
@@ -119,11 +126,12 @@ def repeated_windows(strings: np.ndarray, lengths: np.ndarray, owner: np.ndarray
     if len(order) < 2:
         return flagged
     same = np.ones(len(order) - 1, bool)
-    for j in range(SIZE):  # common prefixes of neighbours, as long as any is left
+    eight = _words(strings, 0)
+    for j in (*range(0, SIZE - 7, 8), SIZE - 8):  # common prefixes of neighbours, as long as any is left
         live = np.flatnonzero(same)
         if not len(live):
             return flagged
-        same[live] = strings[order[live] + j] == strings[order[live + 1] + j]
+        same[live] = eight[order[live] + j] == eight[order[live + 1] + j]
     begin = np.flatnonzero(np.concatenate([[True], ~same]))
     own = owner[which[order]]
     least = np.minimum.reduceat(own, begin)
@@ -154,9 +162,8 @@ class Units:
         self.anchor = self.string = np.zeros(0, np.uint64)
         if n < SIZE:
             return
-        at = np.arange(n - GRAM + 1)
         grams = np.full(n, _LAST)
-        grams[: n - GRAM + 1] = texts.hashes(at, at + GRAM)
+        grams[: n - GRAM + 1] = texts.grams(GRAM)
         least = _sliding(grams, SPAN, np.minimum)
         ok = np.zeros(n + 1, np.int64)  # windows that lie in one text
         long = lengths >= SIZE
@@ -165,11 +172,8 @@ class Units:
         window = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
         if not len(window):
             return
-        # the last place of the least hash: of each window, the greatest j in it with grams[j] == least
         key = least[window]
-        place = np.full(len(window), -1)
-        place_of = self._last_place(grams, least, window)
-        place = place_of
+        place = self._last_place(grams, least, window, key)
         new = np.ones(len(window), bool)
         new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
         begin = np.flatnonzero(new)
@@ -180,18 +184,18 @@ class Units:
         self.text = np.searchsorted(offsets, self.first, "right") - 1
 
     @staticmethod
-    def _last_place(grams: np.ndarray, least: np.ndarray, window: np.ndarray) -> np.ndarray:
-        is_least = np.zeros(len(grams), bool)
+    def _last_place(grams: np.ndarray, least: np.ndarray, window: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Of each window the last place of its least hash."""
         tops = _sliding(least[::-1], SPAN, np.maximum)[::-1]  # of the windows that hold a place the greatest minimum
         is_least = tops == grams
         places = np.flatnonzero(is_least)
-        found = np.searchsorted(places, window + SPAN - 1, "right") - 1
+        found = (np.cumsum(is_least, dtype=np.int32) - 1)[window + SPAN - 1]
         place = places[found]
-        wrong = np.flatnonzero(grams[place] != least[window])
+        wrong = np.flatnonzero(grams[place] != key)
         while len(wrong):  # an anchor of other windows stands behind it
             found[wrong] -= 1
             place[wrong] = places[found[wrong]]
-            wrong = wrong[grams[place[wrong]] != least[window[wrong]]]
+            wrong = wrong[grams[place[wrong]] != key[wrong]]
         return place
 
 
