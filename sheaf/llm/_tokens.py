@@ -97,51 +97,109 @@ class Memory:
         return [sum(map(held.__getitem__, parts)) for parts in split]
 
 
-class Pieces(Memory):
-    """Also keeps the ids of each piece, in one array for each process."""
+_SOLID = np.zeros(256, bool)  # bytes that are, or belong to, characters that are not white space in a text that is even
+_SOLID[33:127] = _SOLID[128:] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+for _c in range(33, 127):
+    (_LETTER if chr(_c).isalpha() else _MARK)[_c] = not chr(_c).isdigit()
+_WIDE = np.zeros(256, bool)  # first bytes of characters among which some are white space
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+class Pieces:
+    """Ids of many texts at once: cut into pieces where a byte-level pre-tokenizer breaks whatever surrounds them, each
+    distinct piece encoded once and kept for the process, all new ones of a call in one go.
+
+    Such breaks are: before a space or line break that follows a character that is not white space, after a line break
+    alone between two such characters, and before an ASCII mark that follows an ASCII letter. A text with characters of
+    blocks that hold other white space, or with the opening of a special token's string, is encoded as a whole."""
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.kept: dict = _loaded.setdefault(f"{path}#ids", {"at": {}, "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int64), "used": 0})
+        self.path = path
+        self.kept: dict = _loaded.setdefault(f"{path}#kept", {})
+        if not self.kept:
+            self._clear()
+
+    def _clear(self) -> None:
+        self.kept |= {"key": np.zeros(0, np.uint64), "slot": np.zeros(0, np.int64), "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int64), "used": 0, "n": 0}
 
-    def _keep(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, names: list[bytes]) -> None:
+        """Encodes new pieces and keeps them."""
         kept = self.kept
-        n, used = len(kept["at"]), kept["used"]
-        while used + len(ids) > len(kept["ids"]):
+        good = [i for i, b in enumerate(names) if _SOLID[b[-1]] and (_SOLID[b[0]] or (b[0] == 32 and len(b) > 1 and _SOLID[b[1]]))]
+        ids = encode(self.path, b"\n".join([names[i] for i in good]).decode())  # breaks stand around each line break
+        ends = np.cumsum(np.array([len(names[i]) + 1 for i in good], np.int64))
+        starts = ends - np.array([len(names[i]) + 1 for i in good], np.int64)
+        bytes_ = byte_lengths(self.path)[ids]
+        at = np.cumsum(bytes_) - bytes_
+        first, last = np.searchsorted(at, starts), np.searchsorted(at, ends - 1)
+        counts = np.zeros(len(names), np.int64)
+        counts[good] = last - first
+        others = {i: encode(self.path, names[i].decode()) for i in set(range(len(names))).difference(good)}
+        for i, x in others.items():
+            counts[i] = len(x)
+        upto = np.cumsum(counts)
+        flat = np.zeros(int(upto[-1]), np.int64)
+        own = counts[good]
+        to = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        flat[to + np.repeat((upto - counts)[good], own)] = ids[to + np.repeat(first, own)]
+        for i, x in others.items():
+            flat[upto[i] - len(x) : upto[i]] = x
+        n, used = kept["n"], kept["used"]
+        while used + len(flat) > len(kept["ids"]):
             kept["ids"] = np.concatenate([kept["ids"], np.zeros_like(kept["ids"])])
         while n + len(names) + 1 > len(kept["begin"]):
             kept["begin"] = np.concatenate([kept["begin"], np.zeros_like(kept["begin"])])
-        kept["ids"][used : used + len(ids)] = ids
-        kept["begin"][n + 1 : n + 1 + len(names)] = used + np.cumsum(counts)
-        kept["used"] = used + len(ids)
-        kept["at"].update(zip(names, range(n, n + len(names))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of some plain texts on end, ids per text)."""
-        at, parts, sizes = self.kept["at"], [], []
-        for text in texts:
-            own = text.split(" ")
-            parts.append(own[0])
-            parts.extend([" " + p for p in own[1:]])
-            sizes.append(len(own))
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        unknown = {p for p in parts if p not in at}
-        if len(at) + len(unknown) > MEMORY:
-            at.clear()
-            self.kept["used"] = 0
-            unknown = set(parts)
-        later = [p for p in unknown if p[:1] == " "]
-        self._keep(later, *self.ids(later))
-        for p in unknown:  # at a text's beginning
-            if p[:1] != " ":
-                ids = encode(self.path, p)
-                self._keep([p], ids, np.array([len(ids)]))
-        which = np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
-        begin = self.kept["begin"][which]
-        counts = self.kept["begin"][which + 1] - begin
-        ends = np.cumsum(counts)
-        ids = self.kept["ids"][np.arange(int(ends[-1])) + np.repeat(begin - (ends - counts), counts)]
-        total = np.concatenate([[0], ends])
-        upto = np.cumsum(sizes)
-        return ids, total[upto] - total[upto - np.array(sizes)]
+        kept["ids"][used : used + len(flat)] = flat
+        kept["begin"][n + 1 : n + 1 + len(names)] = used + upto
+        place = np.searchsorted(kept["key"], keys)
+        kept["key"], kept["slot"] = np.insert(kept["key"], place, keys), np.insert(kept["slot"], place, np.arange(n, n + len(names)))
+        kept["n"], kept["used"] = n + len(names), used + len(flat)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, ids per text) of a flat view."""
+        data, offsets = texts.data, texts.offsets
+        n, kept = len(data), self.kept
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(texts.n, np.int64)
+        odd = np.flatnonzero(_WIDE[data])
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        whole = np.zeros(texts.n, bool)
+        whole[np.searchsorted(offsets, np.concatenate([odd, special]), "right") - 1] = True
+        solid = _SOLID[data]
+        begin = np.zeros(n, bool)
+        before = solid[:-1]
+        begin[1:] = before & ((data[1:] == 32) | (data[1:] == 10)) | _LETTER[data[:-1]] & _MARK[data[1:]]
+        begin[2:] |= solid[2:] & (data[1:-1] == 10) & solid[:-2]
+        filled = np.flatnonzero(np.diff(offsets))
+        heads = offsets[filled]
+        after = heads + 1  # a text's line break at its beginning follows nothing
+        begin[after[after < n]] &= data[heads[after < n]] != 10
+        later = heads + 2
+        ok = later < n
+        begin[heads] = True
+        for t in np.flatnonzero(whole).tolist():
+            begin[offsets[t] + 1 : offsets[t + 1]] = False
+        del later, ok
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], n)
+        keys = texts.hashes(starts, ends)
+        unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        for attempt in (0, 1):
+            at = np.minimum(np.searchsorted(kept["key"], unique), max(0, len(kept["key"]) - 1))
+            known = kept["key"][at] == unique if len(kept["key"]) else np.zeros(len(unique), bool)
+            new = np.flatnonzero(~known)
+            if not len(new):
+                break
+            if attempt == 0 and kept["n"] + len(new) > MEMORY:
+                self._clear()
+                new = np.arange(len(unique))
+            self._add(unique[new], [data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        slot = kept["slot"][np.searchsorted(kept["key"], unique)][which]
+        from_ = kept["begin"][slot]
+        counts = kept["begin"][slot + 1] - from_
+        upto = np.cumsum(counts)
+        ids = kept["ids"][np.arange(int(upto[-1])) + np.repeat(from_ - (upto - counts), counts)]
+        total = np.concatenate([[0], upto])
+        cuts = np.searchsorted(starts, offsets)
+        return ids, np.diff(total[cuts])
