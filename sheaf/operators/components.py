@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder (a new one where none is set, as in tests) and read from there."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sheaf-"))
+    return df.checkpoint(eager=True)
+
+
 def grid_edges(cells: DataFrame, row: str, column: str, key: str, gap: int) -> DataFrame:
     """Edges between successive cells of a row, and of a column, whose distance is at most the gap."""
     out = None
@@ -20,14 +30,14 @@ def grid_edges(cells: DataFrame, row: str, column: str, key: str, gap: int) -> D
 def components(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     """(key, component): the least key that edges (a, b) reach. Least labels spread and are followed to their own
     labels (pointer jumping), so the rounds grow with the logarithm of a component's length; the number of
-    changed rows, one figure, decides when to stop."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
+    changed rows, one figure, decides when to stop. Lineage is cut at every round."""
+    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = nodes.select(F.col(key).alias("a"), F.col(key).alias("l"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         spread = labels.join(near, "a", "left").select("a", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
         jump = spread.select(F.col("a").alias("n"), F.col("n").alias("j"))
-        after = spread.join(jump, "n").select("a", "l", F.least("n", "j").alias("n")).persist()
+        after = _cut(spread.join(jump, "n").select("a", "l", F.least("n", "j").alias("n")))
         changed = after.filter("l <> n").count()
         labels = after.select("a", F.col("n").alias("l"))
         if not changed:
