@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import cut, documents, new_folder, shuffle_partitions
+from ._session import cut, documents, new_folder, shuffle_partitions, tidy
 from ._text import Texts, mix, pieces, windows
 
 SHINGLE = 5
@@ -304,12 +304,13 @@ def roots(edges: DataFrame, label: str = "node", most: int = 64) -> DataFrame:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
+        large = large.filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = cut(small.filter("u != v").distinct())
         mark = after.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")).first()
-        current = after
+        current, large, low, small, both, least, after = after, None, None, None, None, None, None
+        tidy(edges.sparkSession)
         if held == mark:
             break
         held = mark
@@ -343,6 +344,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     chosen = nodes.join(needed, "node").select("node", "rep")
     picked = slim.join(chosen, slim["doc_id"] == chosen["rep"]).select("node", "text").mapInArrow(_own, "node long, text string, size long, parity binary")
     picked.write.parquet(folder)
+    del packed, picked
+    tidy(spark)
     texts = spark.read.schema("node long, text string, size long, parity binary").parquet(folder)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -352,6 +355,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
 
     links, tested = verified(first), first
+    tidy(spark)
     root = cut(roots(links))
     for nearest in (True, False):
         at = members.select("list", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -360,7 +364,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         pairs = several.groupBy("list").applyInArrow(_across(nearest), "a long, b long").distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         more = verified(pairs)
-            tested = tested.unionByName(pairs)
+        tidy(spark)
+        tested = tested.unionByName(pairs)
         links = links.unionByName(more)
         root = cut(roots(links))
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
