@@ -314,6 +314,8 @@ def roots(edges: DataFrame, label: str = "node", most: int = 64) -> DataFrame:
         if held == mark:
             break
         held = mark
+    else:
+        raise RuntimeError(f"components are not joined after {most} rounds")
     return current.groupBy(F.col("u").alias(label)).agg(F.min("v").alias("root"))
 
 

@@ -27,19 +27,22 @@ def grid_edges(cells: DataFrame, row: str, column: str, key: str, gap: int) -> D
     return out
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 50) -> DataFrame:
-    """(key, component): the least key that edges (a, b) reach. Least labels spread and are followed to their own
-    labels (pointer jumping), so the rounds grow with the logarithm of a component's length; the number of
-    changed rows, one figure, decides when to stop. Lineage is cut at every round."""
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = nodes.select(F.col(key).alias("a"), F.col(key).alias("l"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        spread = labels.join(near, "a", "left").select("a", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
-        jump = spread.select(F.col("a").alias("n"), F.col("n").alias("j"))
-        after = _cut(spread.join(jump, "n").select("a", "l", F.least("n", "j").alias("n")))
-        changed = after.filter("l <> n").count()
-        labels = after.select("a", F.col("n").alias("l"))
-        if not changed:
+def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, component): the least key that edges (a, b) between nodes reach. Alternating steps join each node's greater
+    neighbours, then its lesser ones, to the least neighbour, so that roots are hooked too, until a round leaves the
+    edges as they were; there is no bound on the rounds. Partial minima are taken before each shuffle, and lineage
+    is cut at every round."""
+    current = _cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    held = None
+    while True:
+        least = current.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = current.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        current = _cut(small.filter("u <> v").distinct())
+        mark = current.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")).first()
+        if held == mark:
             break
-    return labels.select(F.col("a").alias(key), F.col("l").alias("component"))
+        held = mark
+    root = current.groupBy(F.col("u").alias(key)).agg(F.min("v").alias("root"))
+    return nodes.select(key).join(root, key, "left").select(key, F.coalesce("root", key).alias("component"))
