@@ -35,6 +35,11 @@ def snippet(text: Column, at: Column, size: int, before: int = 40, after: int =
     return F.concat(F.when(start > 0, F.lit("…")).otherwise(""), body, F.when(end < F.length(text), F.lit("…")).otherwise(""))
 
 
+def snippets(text: Column, needle: str) -> Column:
+    """(at, snippet) of all matches of literal_offsets."""
+    return F.transform(literal_offsets(text, needle), lambda at: F.struct(at.alias("at"), snippet(text, at, len(needle)).alias("snippet")))
+
+
 def all_words(text: Column, query: str) -> Column:
     """Whether every word of the query is a substring of the lowered text."""
     low = F.lower(text)

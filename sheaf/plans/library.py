@@ -87,6 +87,13 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(F.contains("text", F.lit("tion"))).select("doc_id", tx.snippet(F.col("text"), at, 4).alias("snippet"))
 
 
+def search_snippets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snippet for each match; search_snippets has the first of each document, as its SQL says."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    hit = F.explode(tx.snippets(F.col("text"), "tion")).alias("hit")
+    return d.filter(F.contains("text", F.lit("tion"))).select("doc_id", hit).select("doc_id", "hit.at", "hit.snippet")
+
+
 def keyword_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part", "p_partkey", "p_name").filter(tx.all_words(F.col("p_name"), "wid  RE")).select("p_partkey")
 
@@ -159,7 +166,7 @@ def recent_notes_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EVENTS = "e AS (SELECT user_id, event_id, CAST(floor(value * 100) AS BIGINT) AS stamp, event_type AS reading, CAST(floor(value * 100) AS BIGINT) + event_id % 7 AS rd FROM events)"
 
-QUERIES = {f.__name__: f for f in (lww_reading_state, revision_merge, outbox_replay, edition_groups, library_view, legacy_migrate, recent_progress_outer, storage_rollup, reading_state_validate, search_literal, search_snippets, keyword_conjunction, collapse_ws, multiset_token_equality, reply_id_join, cache_migration, quote_grounding, work_fingerprint, message_validity, group_predicates, multiset_difference, recent_notes_top)}
+QUERIES = {f.__name__: f for f in (lww_reading_state, revision_merge, outbox_replay, edition_groups, library_view, legacy_migrate, recent_progress_outer, storage_rollup, reading_state_validate, search_literal, search_snippets, search_snippets_all, keyword_conjunction, collapse_ws, multiset_token_equality, reply_id_join, cache_migration, quote_grounding, work_fingerprint, message_validity, group_predicates, multiset_difference, recent_notes_top)}
 ORACLE_SQL = {
     "lww_reading_state": f"""
 WITH {_EVENTS},
@@ -198,6 +205,11 @@ SELECT doc_id, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) +
 WITH p AS (SELECT doc_id, text, instr(text, 'tion') - 1 AS i FROM documents WHERE contains(text, 'tion')),
 q AS (SELECT *, greatest(i - 40, 0) AS s, i + 64 AS e FROM p)
 SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || replace(replace(replace(replace(substr(text, s + 1, e - s), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || CASE WHEN e < length(text) THEN '…' ELSE '' END AS snippet FROM q""",
+    "search_snippets_all": """
+WITH p AS (SELECT doc_id, text, string_split(text, 'tion') AS parts FROM documents),
+h AS (SELECT doc_id, text, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + 4 * (i - 1) AS INTEGER) AS "at" FROM p, LATERAL unnest(range(1, len(parts))) t(i)),
+q AS (SELECT *, greatest("at" - 40, 0) AS s, "at" + 64 AS e FROM h)
+SELECT doc_id, "at", CASE WHEN s > 0 THEN '…' ELSE '' END || replace(replace(replace(replace(substr(text, s + 1, e - s), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || CASE WHEN e < length(text) THEN '…' ELSE '' END AS snippet FROM q""",
     "keyword_conjunction": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'wid') AND contains(lower(p_name), 're')",
     "collapse_ws": r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents",
     "multiset_token_equality": """

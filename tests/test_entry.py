@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
 from sheaf.operators import catalog, folds, intervals, repeated, spans, stats
+from sheaf.plans import catalogue
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -69,6 +70,19 @@ def test_search_offsets(spark):
     assert df.select(tx.literal_offsets(F.col("t"), "ab")).collect()[1][0] == [0, 3, 6]
 
 
+def test_every_match_has_a_snippet(spark, tmp_path):
+    text = "a <nation> " + "x" * 100 + " station" + "y" * 70
+    spark.createDataFrame([(1, text), (2, "none"), (3, None), (4, "tiontion")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r["at"]): r.snippet for r in catalogue.QUERIES["search_snippets_all"](spark, str(tmp_path)).collect()}
+    second = text.rindex("tion")
+    assert got == {
+        (1, 5): "a &lt;nation&gt; " + "x" * 58 + "…",
+        (1, second): "…" + text[second - 40 : second + 64] + "…",
+        (4, 0): "tiontion",
+        (4, 4): "tiontion",
+    }
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("A ﬁne soft­ware trans-\nlation  of\tthings",)], "t string")
     assert df.select(tx.clean_title(F.col("t"))).first()[0] == "A fine software translation of things"
