@@ -324,7 +324,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Shingles are five words, ASCII capitals lowered; links need ``100 * shared >= 80 * united``. Null, empty and wordless
     texts have no shingles and link with nothing; equal sets are one node, so copies cost one. Rows that
-    repeat a key are documents of their own. An empty table gives an empty result. Other columns are left out.
+    repeat a key are documents of their own. Rows with a null key link like others, but name no component: its
+    component_id is the least key that isn't null, and null if there is none. An empty table gives an empty result. Other columns are left out.
 
     Signatures go out packed by part of their hash; each part gives the distinct lists of nodes that share one. Of a
     list, first each node is verified against its least companion of all lists; where that leaves a list in several
@@ -344,9 +345,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     needed = members.select("node").distinct()
     folder = new_folder(spark, "join-texts")
     chosen = nodes.join(needed, "node").select("node", "rep")
-    picked = slim.join(chosen, slim["doc_id"] == chosen["rep"]).select("node", "text").mapInArrow(_own, "node long, text string, size long, parity binary")
+    keyed = slim.join(chosen, slim["doc_id"] == chosen["rep"]).select("node", "text")
+    keyless = slim.filter("doc_id is null and text is not null").select("text").mapInArrow(_named, "node long, text string")
+    keyless = keyless.join(chosen.filter("rep is null").select("node"), "node", "left_semi").dropDuplicates(["node"])
+    picked = keyed.unionByName(keyless).mapInArrow(_own, "node long, text string, size long, parity binary")
     picked.write.parquet(folder)
-    del packed, picked
+    del packed, picked, keyed, keyless
     tidy(spark)
     texts = spark.read.schema("node long, text string, size long, parity binary").parquet(folder)
 
@@ -379,6 +383,19 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return out
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) of texts, each node once in a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        for piece in pieces(batch):
+            keep = {}
+            for i, s in enumerate(element_sets(Texts(piece.column("text"), lower=True))):
+                if len(s) and (node := node_of(s)) not in seen:
+                    seen.add(node)
+                    keep[node] = i
+            yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.int64()), piece.column("text").take(pa.array(list(keep.values()), pa.int64()))], ["node", "text"])
+
+
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (node, text) rows those whose text's set is the node, once in a task, with size and parity vector."""
     seen: set[int] = set()

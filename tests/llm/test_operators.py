@@ -87,6 +87,14 @@ def test_jaccard_join(spark):
     assert jaccard_join.components(empty(spark)).count() == 0
 
 
+def test_jaccard_join_by_rows_without_key(spark):
+    """Two documents that only a row with a null key connects, and rows with null keys that link with each other only."""
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, words(0, 100)), (None, words(8, 108)), (2, words(16, 116)), (None, words(500, 600)), (None, words(504, 604)), (3, words(800, 900))]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (3, 3)], key=str)
+
+
 def test_jaccard_signatures_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):
