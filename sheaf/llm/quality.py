@@ -1,4 +1,4 @@
-"""Quality rules: counts on whole texts, and a calibrated logistic regression on hashed n-grams."""
+"""Quality rules: counts on whole texts, and a calibrated logistic regression on hashed single words and 3-byte grams."""
 
 from __future__ import annotations
 
