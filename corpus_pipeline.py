@@ -15,10 +15,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links: the one with the least id. Rows that repeat an id are one document."""
-    found = jaccard_join.components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component of links: the one with the least id, null being the last. Each row is given an id of its
+    own, written once, so rows that share a doc_id or have none are rows like all others."""
+    folder = new_folder(spark, "pipeline-rows")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    found = jaccard_join.components(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    kept = found.groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

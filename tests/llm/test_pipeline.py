@@ -51,3 +51,13 @@ def test_run(spark, tmp_path):
 
 def test_stages_keep_the_columns():
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_copies_without_ids_of_their_own(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " extra"), (None, texts[2]), (3, texts[2]), (2, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[5]), (None, None), (None, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    want = [(None, texts[0]), (None, texts[1]), (2, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (None, None), (None, ""), (9, "")]
+    assert got.columns == docs.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
