@@ -32,6 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of a number of eight
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -46,7 +47,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
             step = min(done, size - done)
             have[done : done + step] = have[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
-        if size <= 4 * PIECE:
+        if size <= 2 * PIECE:
             _powers[name] = have
     return have[:n]
 
@@ -77,6 +78,14 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE) -> Ite
         at = to
 
 
+def hash_of(number: np.ndarray, place: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of spans given in steps of eight bytes (see ``Texts.eights``)."""
+    mixed = mix(number + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+    if len(number) > len(begin):
+        mixed = np.add.reduceat(mixed, begin)
+    return mix(mixed + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Texts:
     """Flat view of some texts; what is derived is made once, on demand."""
 
@@ -85,22 +94,35 @@ class Texts:
         if lower:
             self.data = LOWER[self.data]
         self.n = len(self.offsets) - 1
-        self._prefix = None
+        self._padded = None
+
+    def eights(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of each span in steps of eight as little-endian numbers, zeros after its end: (numbers of all spans on
+        end, each one's place in its span, where each span's begin). An empty span has one number, 0."""
+        if self._padded is None:
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[: len(self.data)] = self.data
+            self._padded = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+        size = ends - starts
+        steps = np.maximum(1, (size + 7) >> 3)
+        upto = np.cumsum(steps)
+        begin = upto - steps
+        place = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(begin, steps)
+        left = np.repeat(size, steps) - 8 * place
+        number = self._padded[np.repeat(starts, steps) + 8 * place] & _KEEP[np.minimum(left, 8)]
+        return number, place, begin
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand."""
-        if self._prefix is None:
-            prefix = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_OF_BYTE[self.data] * _power("base", _BASE, len(self.data)), out=prefix[1:])
-            self._prefix = prefix
-        spans = (self._prefix[ends] - self._prefix[starts]) * _power("inverse", _INVERSE, len(self.data) + 1)[starts]
-        return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand. Each eight bytes are mixed
+        with their place before they are added up, so no pattern of bytes cancels out."""
+        return hash_of(*self.eights(starts, ends), ends - starts) if len(starts) else np.zeros(0, np.uint64)
 
     def grams(self, size: int) -> np.ndarray:
-        """64-bit hash of each run of ``size`` bytes, runs over the ends of texts among them."""
+        """64-bit hash of each run of ``size`` bytes (a few dozen at most), runs over the ends of texts among them."""
         n = len(self.data)
-        self.hashes(np.zeros(0, np.int64), np.zeros(0, np.int64))  # makes the prefix sums
-        spans = self._prefix[size:] - self._prefix[: n + 1 - size]
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(_OF_BYTE[self.data] * _power("base", _BASE, n), out=prefix[1:])
+        spans = prefix[size:] - prefix[: n + 1 - size]
         spans *= _power("inverse", _INVERSE, n + 1)[: len(spans)]
         spans ^= spans >> np.uint64(31)
         spans *= np.uint64(0x94D049BB133111EB)

@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
+from ._text import hash_of
+
 #: Pieces that a process remembers; when so many are held, it begins anew.
-MEMORY = 600_000
+MEMORY = 1_500_000
 
 _loaded: dict[str, object] = {}
 
@@ -108,7 +110,8 @@ _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 class Pieces:
     """Ids of many texts at once: cut into pieces where a byte-level pre-tokenizer breaks whatever surrounds them, each
-    distinct piece encoded once and kept for the process, all new ones of a call in one go.
+    distinct piece encoded once and kept for the process, all new ones of a call in one go. Pieces are found by hash and
+    compared byte by byte; should two differ that have one hash, the texts are encoded as wholes.
 
     Such breaks are: before a space or line break that follows a character that is not white space, after a line break
     alone between two such characters, and before an ASCII mark that follows an ASCII letter. A text with characters of
@@ -121,11 +124,22 @@ class Pieces:
             self._clear()
 
     def _clear(self) -> None:
-        self.kept |= {"key": np.zeros(0, np.uint64), "slot": np.zeros(0, np.int64), "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int64), "used": 0, "n": 0}
+        self.kept |= {"key": np.zeros(0, np.uint64), "slot": np.zeros(0, np.int64), "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int64), "used": 0, "n": 0, "size": np.zeros(1 << 16, np.int64), "eight": np.zeros(1 << 16, np.uint64), "eight_at": np.zeros(1 << 16, np.int64), "eights": 0}
+
+    def _room(self, name: str, n: int) -> None:
+        while n > len(self.kept[name]):
+            self.kept[name] = np.concatenate([self.kept[name], np.zeros_like(self.kept[name])])
 
-    def _add(self, keys: np.ndarray, names: list[bytes]) -> None:
-        """Encodes new pieces and keeps them."""
+    def _add(self, keys: np.ndarray, names: list[bytes], number: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Encodes new pieces and keeps them and their bytes."""
         kept = self.kept
+        n, held = kept["n"], kept["eights"]
+        for name in ("size", "eight_at"):
+            self._room(name, n + len(names))
+        self._room("eight", held + len(number))
+        kept["size"][n : n + len(names)], kept["eight_at"][n : n + len(names)] = size, held + begin
+        kept["eight"][held : held + len(number)] = number
+        kept["eights"] = held + len(number)
         good = [i for i, b in enumerate(names) if _SOLID[b[-1]] and (_SOLID[b[0]] or (b[0] == 32 and len(b) > 1 and _SOLID[b[1]]))]
         ids = encode(self.path, b"\n".join([names[i] for i in good]).decode())  # breaks stand around each line break
         ends = np.cumsum(np.array([len(names[i]) + 1 for i in good], np.int64))
@@ -145,11 +159,9 @@ class Pieces:
         flat[to + np.repeat((upto - counts)[good], own)] = ids[to + np.repeat(first, own)]
         for i, x in others.items():
             flat[upto[i] - len(x) : upto[i]] = x
-        n, used = kept["n"], kept["used"]
-        while used + len(flat) > len(kept["ids"]):
-            kept["ids"] = np.concatenate([kept["ids"], np.zeros_like(kept["ids"])])
-        while n + len(names) + 1 > len(kept["begin"]):
-            kept["begin"] = np.concatenate([kept["begin"], np.zeros_like(kept["begin"])])
+        used = kept["used"]
+        self._room("ids", used + len(flat))
+        self._room("begin", n + len(names) + 1)
         kept["ids"][used : used + len(flat)] = flat
         kept["begin"][n + 1 : n + 1 + len(names)] = used + upto
         place = np.searchsorted(kept["key"], keys)
@@ -175,26 +187,42 @@ class Pieces:
         heads = offsets[filled]
         after = heads + 1  # a text's line break at its beginning follows nothing
         begin[after[after < n]] &= data[heads[after < n]] != 10
-        later = heads + 2
-        ok = later < n
         begin[heads] = True
         for t in np.flatnonzero(whole).tolist():
             begin[offsets[t] + 1 : offsets[t + 1]] = False
-        del later, ok
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], n)
-        keys = texts.hashes(starts, ends)
+        size = ends - starts
+        number, place, at8 = texts.eights(starts, ends)
+        keys = hash_of(number, place, at8, size)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        steps = np.diff(at8, append=len(number))
+        like = first[which]
+        clash = bool((size != size[like]).any()) or bool((number != number[np.repeat(at8[like], steps) + place]).any())
         for attempt in (0, 1):
             at = np.minimum(np.searchsorted(kept["key"], unique), max(0, len(kept["key"]) - 1))
             known = kept["key"][at] == unique if len(kept["key"]) else np.zeros(len(unique), bool)
+            if known.any():
+                slot, ours = kept["slot"][at[known]], first[known]
+                clash = clash or bool((kept["size"][slot] != size[ours]).any())
+                if not clash:
+                    whose = np.repeat(np.arange(len(ours)), steps[ours])
+                    inner = np.arange(len(whose)) - np.repeat(np.cumsum(steps[ours]) - steps[ours], steps[ours])
+                    clash = bool((kept["eight"][kept["eight_at"][slot][whose] + inner] != number[at8[ours][whose] + inner]).any())
+            if clash:
+                found = [encode(self.path, data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                return np.concatenate(found), np.array([len(f) for f in found], np.int64)
             new = np.flatnonzero(~known)
             if not len(new):
                 break
             if attempt == 0 and kept["n"] + len(new) > MEMORY:
                 self._clear()
                 new = np.arange(len(unique))
-            self._add(unique[new], [data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            f = first[new]
+            whose = np.repeat(np.arange(len(f)), steps[f])
+            upto = np.cumsum(steps[f]) - steps[f]
+            own = number[at8[f][whose] + np.arange(len(whose)) - upto[whose]]
+            self._add(unique[new], [data[a:b].tobytes() for a, b in zip(starts[f].tolist(), ends[f].tolist())], own, upto, size[f])
         slot = kept["slot"][np.searchsorted(kept["key"], unique)][which]
         from_ = kept["begin"][slot]
         counts = kept["begin"][slot + 1] - from_
