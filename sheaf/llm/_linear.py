@@ -7,36 +7,20 @@ import numpy as np
 from ._text import Texts, group_sums, owners
 
 
-def presence(texts: Texts, bits: int, words: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which hashed word buckets each text has: (bucket, count by text), ascending inside a text."""
-    starts, ends, counts = words or texts.words()
-    bucket = texts.hashes(starts, ends) >> np.uint64(64 - bits)
-    key = np.unique((owners(counts).astype(np.uint64) << np.uint64(bits)) | bucket)
-    owner = (key >> np.uint64(bits)).astype(np.int64)
-    return (key & np.uint64((1 << bits) - 1)).astype(np.int64), np.bincount(owner, minlength=texts.n)
-
-
 def char_grams(texts: Texts, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed bucket of each run of ``size`` bytes, and how many each text has (none for one that is shorter)."""
-    n = np.maximum(0, np.diff(texts.offsets) - size + 1)
-    m = len(texts.data) - size + 1
+    """Hashed bucket of each run of ``size`` characters (code points), and how many each text has (none for a shorter one)."""
+    points, offsets = texts.points()
+    n = np.maximum(0, np.diff(offsets) - size + 1)
+    m = len(points) - size + 1
     if m <= 0:
         return np.zeros(0, np.int64), n * 0
     code = np.zeros(m, np.uint64)
     for i in range(size):
-        code = code << np.uint64(8) | texts.data[i : i + m].astype(np.uint64) if size <= 8 else code
+        code = (code << np.uint64(21)) + (code >> np.uint64(43)) + points[i : i + m]
     bucket = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    if texts.n > 1:
-        inside = np.ones(m, bool)
-        for i in range(1, size):
-            at = texts.offsets[1:-1] - i
-            at = at[(at >= 0) & (at < m)]
-            inside[at] = False
-        starts_late = np.diff(texts.offsets) < size
-        if starts_late.any():  # texts shorter than a gram have no start of their own
-            owner = np.searchsorted(texts.offsets, np.arange(m), "right") - 1
-            inside &= np.arange(m) + size <= texts.offsets[owner + 1]
-        bucket = bucket[inside]
+    if texts.n > 1 and size > 1:
+        last = np.repeat(offsets[1:], np.diff(offsets))[:m]
+        bucket = bucket[np.arange(m) + size <= last]
     return bucket.astype(np.int64), n
 
 

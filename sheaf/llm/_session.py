@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a new one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new one, but only if all
+    run in this one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="sheaf-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(found)
@@ -51,3 +54,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def n_words(text):
     """Number of words: runs of characters other than ASCII white space (space, tab to carriage return)."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def others(df: DataFrame, *results: str, keep: list[str] | tuple[str, ...] = ()) -> list[str]:
+    """Columns of df that an operator carries along: all but those that have a result's name or begin with ``__``, which
+    give way to the operator's own. Columns in ``keep`` stay unless a result has their name. Names are compared as Spark does."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken and (not c.startswith("__") or c in keep)]

@@ -94,7 +94,7 @@ class Texts:
         if lower:
             self.data = LOWER[self.data]
         self.n = len(self.offsets) - 1
-        self._padded = None
+        self._padded = self._points = None
 
     def eights(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bytes of each span in steps of eight as little-endian numbers, zeros after its end: (numbers of all spans on
@@ -129,6 +129,15 @@ class Texts:
         spans ^= spans >> np.uint64(29)
         return spans
 
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all texts on end, and where each text begins among them."""
+        if self._points is None:
+            code = np.frombuffer(self.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+            before = np.zeros(len(self.data) + 1, np.int64)
+            np.cumsum((self.data & 0xC0) != 0x80, out=before[1:])
+            self._points = code, before[self.offsets]
+        return self._points
+
     def per_text(self, positions: np.ndarray) -> np.ndarray:
         """Ascending positions counted by text."""
         at = np.searchsorted(positions, self.offsets)

@@ -12,7 +12,7 @@ is verified: so many of the word trigrams of the item's question, and of its ans
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -94,16 +94,24 @@ def _short(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return size, np.unique(_grams(hashes, size))
 
 
-def build_index(items: list[tuple], unit: int = UNIT) -> Index | None:
-    """The index of (id, text) items. Items without a word are left out; None if none is left."""
+class Statistics(NamedTuple):
+    """What BM25 needs to know of all items: distinct terms in ascending order, how many units have each, the number of units,
+    their mean length, and the longest one's."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    n_units: int
+    mean: float
+    longest: int
+
+
+def _units(items: list[tuple], unit: int) -> tuple[list, list[np.ndarray], list[int], list, list]:
+    """(ids, units, item of each unit, question runs, answer runs) of the items that have a word."""
     items = [(i, t) for i, t in items if t and t.strip()]
     texts = Texts(pa.array([t for _, t in items], pa.large_string()), lower=True)
     starts, ends, counts = texts.words(plain=True)
     hashes = texts.hashes(starts, ends)
-    has = counts > 0
-    ids = [i for (i, _), h in zip(items, has) if h]
-    if not ids:
-        return None
+    ids = [i for (i, _), h in zip(items, counts > 0) if h]
     at, units, of, question, answer = 0, [], [], [], []
     for (_, text), n, begin in zip(items, counts.tolist(), texts.offsets[:-1].tolist()):
         if not n:
@@ -118,14 +126,41 @@ def build_index(items: list[tuple], unit: int = UNIT) -> Index | None:
             units.append(own[j * n // k : (j + 1) * n // k])
             of.append(len(question) - 1)
         at += n
+    return ids, units, of, question, answer
+
+
+def survey(blocks: Iterable[list[tuple]], unit: int = UNIT) -> Statistics:
+    """Statistics of all blocks of items together; the driver holds 16 bytes for each distinct word of the items."""
+    terms, df, n, total, longest = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0, 0
+    for block in blocks:
+        units = _units(block, unit)[1]
+        if not units:
+            continue
+        found, times = np.unique(np.concatenate([np.unique(u) for u in units]), return_counts=True)
+        both = np.unique(np.concatenate([terms, found]))
+        count = np.zeros(len(both), np.int64)
+        count[np.searchsorted(both, terms)] += df
+        count[np.searchsorted(both, found)] += times
+        terms, df = both, count
+        n, total, longest = n + len(units), total + sum(map(len, units)), max(longest, max(map(len, units)))
+    return Statistics(terms, df, n, total / max(1, n), longest)
+
+
+def build_index(items: list[tuple], unit: int = UNIT, known: Statistics | None = None) -> Index | None:
+    """The index of (id, text) items by the statistics of all items (these ones alone if none are given), so that scores and
+    passages don't depend on which items share an index. Items without a word are left out; None if none is left."""
+    ids, units, of, question, answer = _units(items, unit)
+    if not ids:
+        return None
+    known = known or survey([items], unit)
     lengths = np.array([len(u) for u in units])
     terms = np.unique(np.concatenate(units))
     unit_of = np.repeat(np.arange(len(units)), lengths)
     cell, tf = np.unique(np.searchsorted(terms, np.concatenate(units)) * len(units) + unit_of, return_counts=True)
     term, unit_no = cell // len(units), cell % len(units)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((len(units) - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[unit_no] / lengths.mean()))
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log1p((known.n_units - df + 0.5) / (df + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[unit_no] / known.mean))
     impact /= np.bincount(unit_no, impact, minlength=len(units))[unit_no]
     most = np.zeros(len(terms))
     np.maximum.at(most, term, impact)
@@ -137,7 +172,7 @@ def build_index(items: list[tuple], unit: int = UNIT) -> Index | None:
     top = np.zeros(len(pair))
     np.maximum.at(top, place, impact)
     block_at = np.searchsorted(pair, np.arange(len(terms) + 1) * n_blocks)
-    return Index(ids, terms, rank, most[order], block_at, pair % n_blocks, Cells(pair // n_blocks, pair % n_blocks, top, len(terms), n_blocks), Cells(rank[term], unit_no, impact, len(terms), n_blocks * BLOCK), len(units), np.array(of), int(lengths.max()), question, answer)
+    return Index(ids, terms, rank, most[order], block_at, pair % n_blocks, Cells(pair // n_blocks, pair % n_blocks, top, len(terms), n_blocks), Cells(rank[term], unit_no, impact, len(terms), n_blocks * BLOCK), len(units), np.array(of), known.longest, question, answer)
 
 
 def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,13 +274,18 @@ def search(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
 
     Every passage of every whole document is searched in all items; the index of a block of at most about
     ``INDEX_BYTES`` of items is broadcast, a larger benchmark takes several passes. Null or empty texts, of documents
-    or items, match nothing. Equal items and repeated documents give each their own pairs. No items: no rows.
+    or items, match nothing. Equal items and repeated documents give each their own pairs; null keys are given as they are.
+    No items: no rows. Other columns of either table are left out, whatever their names; where both keys have one name, the
+    item's is called ``item_`` and that name.
     """
     spark = docs.sparkSession
+    if item_key.lower() == doc_key.lower():
+        items, item_key = items.withColumnRenamed(item_key, f"item_{item_key}"), f"item_{item_key}"
+    known = survey(item_blocks(items, item_key, text))
     schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema[item_key].dataType)]).add("score", "double").add("question_overlap", "double").add("answer_overlap", "double").add("contaminated", "boolean")
     out = None
     for block in item_blocks(items, item_key, text):
-        index = build_index(block)
+        index = build_index(block, known=known)
         if index is None:
             continue
         held = spark.sparkContext.broadcast(index)  # of INDEX_BYTES of text
@@ -265,10 +305,11 @@ def search(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text", threshold: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
-    """docs without those that ``search`` finds an item in."""
+    """docs without those that ``search`` finds an item in. All columns, rows without a text and repeated rows stay as they are."""
     spark, names = docs.sparkSession, docs.columns
+    known = survey(item_blocks(items, item_key, text))
     for block in item_blocks(items, item_key, text):
-        index = build_index(block)
+        index = build_index(block, known=known)
         if index is None:
             continue
         held = spark.sparkContext.broadcast(index)  # of INDEX_BYTES of text

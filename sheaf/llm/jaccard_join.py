@@ -293,14 +293,14 @@ def _across(nearest: bool):
     return pairs
 
 
-def roots(edges: DataFrame, label: str = "node", most: int = 64) -> DataFrame:
+def roots(edges: DataFrame, label: str = "node") -> DataFrame:
     """(node, root) for the nodes of edges (a, b): root is the least node of the connected component.
 
     Alternating steps join each node's greater neighbours, then its lesser ones, to the least neighbour, until nothing
     changes; partial minima are taken before each shuffle, and lineage is cut at every round."""
     current = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     held = None
-    for _ in range(most):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -314,8 +314,6 @@ def roots(edges: DataFrame, label: str = "node", most: int = 64) -> DataFrame:
         if held == mark:
             break
         held = mark
-    else:
-        raise RuntimeError(f"components are not joined after {most} rounds")
     return current.groupBy(F.col("u").alias(label)).agg(F.min("v").alias("root"))
 
 
@@ -416,5 +414,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir, "doc_id", "text"))
 
 
+SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+  FROM w
+), nodes AS MATERIALIZED (
+  SELECT min(doc_id) AS node, list_sort(shingles) AS shingles FROM sets WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), e AS MATERIALIZED (SELECT node, len(shingles) AS n, unnest(shingles) AS s FROM nodes),
+links AS MATERIALIZED (
+  SELECT a.node AS x, b.node AS y FROM e a JOIN e b ON a.s = b.s AND a.node < b.node AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), way AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT node, node AS least FROM nodes UNION SELECT b.y, r.least FROM reach r JOIN way b ON b.x = r.node),
+root AS (SELECT node, min(least) AS least FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(r.least, s.doc_id)::BIGINT AS component_id
+FROM sets s LEFT JOIN nodes n ON n.shingles = list_sort(s.shingles) LEFT JOIN root r ON r.node = n.node
+"""
+
 QUERIES = {"op5_jaccard_join": op5}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_jaccard_join": SQL}

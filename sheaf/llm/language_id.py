@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._linear import char_grams
-from ._session import documents
+from ._session import documents, others
 from ._text import Texts, group_sums, pieces
 
 BITS = 15
@@ -71,19 +71,21 @@ def predict_languages(df: DataFrame, names: list[str], table: np.ndarray, text:
     tempered to the square root of their number so that it doesn't saturate).
 
     The whole text counts. ``und`` and score 0 if the text is null or without a letter, or if nothing was learned.
-    Ties go to the first language in code point order. Other columns are carried along.
+    Ties go to the first language in code point order. Every row is judged by its own text, so repeated rows get equal
+    results; an empty table gives none. Other columns are carried along, but those that have a result's name, or begin with
+    ``__``, give way to the result's.
     """
     spark = df.sparkSession
     held = spark.sparkContext.broadcast((names, table))  # languages x 3 x 2**15 floats
-    named = df.withColumn("text", F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))
-    keep = [c for c in named.columns if c != "text"]
+    keep = others(df.drop(text), "lang_pred", "score")
+    named = df.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("__text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = held.value
         for batch in batches:
-            for piece in pieces(batch):
-                texts = Texts(piece.column("text"))
-                empty = np.asarray(piece.column("text").is_null())
+            for piece in pieces(batch, "__text"):
+                texts = Texts(piece.column("__text"))
+                empty = np.asarray(piece.column("__text").is_null())
                 total = np.zeros((len(names), texts.n))
                 grams = np.zeros(texts.n, np.int64)
                 for k, size in enumerate(SIZES):
@@ -104,7 +106,7 @@ def predict_languages(df: DataFrame, names: list[str], table: np.ndarray, text:
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(said, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     schema = named.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return named.select(*keep, "text").mapInArrow(predict, schema)
+    return named.mapInArrow(predict, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

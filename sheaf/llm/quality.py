@@ -1,4 +1,4 @@
-"""Quality rules: counts on whole texts, and a calibrated logistic regression on hashed single words and 3-byte grams."""
+"""Quality rules: counts on whole texts, and a calibrated logistic regression on hashed words, pairs of words and runs of three characters."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ._labels import labelled_sample
 from ._linear import Rows, char_grams, fit_logistic, fit_platt, folds, sigmoid, text_means
-from ._session import documents
+from ._session import documents, others
 from ._text import Texts, group_sums, owners, pieces, repeats, windows
 
 WORD_BITS, CHAR_BITS, GRAM = 13, 13, 3
-WIDTH = (1 << WORD_BITS) + (1 << CHAR_BITS)
+WIDTH = 2 * (1 << WORD_BITS) + (1 << CHAR_BITS)
 #: Labelled rows of either quality that the fit reads, in the mean.
 SAMPLE = 1500
 THRESHOLD = 0.5
@@ -34,27 +34,31 @@ class Model(NamedTuple):
     offset: float
 
 
-def _features(texts: Texts, words: tuple) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _features(texts: Texts, words: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, how many each text has) of words, pairs of successive words, and runs of characters."""
     starts, ends, counts = words
-    word = (texts.hashes(starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    hashes = texts.hashes(starts, ends)
+    pair, _ = windows(hashes, counts, 2)
     gram, n = char_grams(texts, GRAM, CHAR_BITS)
-    return (word, counts), (gram + (1 << WORD_BITS), n)
+    word, pair = ((h >> np.uint64(64 - WORD_BITS)).astype(np.int64) for h in (hashes, pair))
+    return [(word, counts), (pair + (1 << WORD_BITS), np.maximum(0, counts - 1)), (gram + (2 << WORD_BITS), n)]
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's features as (index, value): shares of its words and of its grams, times SCALE."""
+    """Each text's features as (index, value): shares of its words, its pairs and its grams, times SCALE."""
     for batch in batches:
         for piece in pieces(batch):
             texts = Texts(piece.column("text"))
-            index, value = [], []
-            (word, nw), (gram, ng) = _features(texts, texts.words())
-            ends_w, ends_g = np.cumsum(nw), np.cumsum(ng)
-            for i in range(texts.n):
-                for part in (word[ends_w[i] - nw[i] : ends_w[i]], gram[ends_g[i] - ng[i] : ends_g[i]]):
+            index, value, counts = [], [], []
+            parts = [np.split(bucket, np.cumsum(n)[:-1]) for bucket, n in _features(texts, texts.words())]
+            for own in zip(*parts):
+                held = 0
+                for part in own:
                     found, times = np.unique(part, return_counts=True)
                     index.append(found)
                     value.append(times * (SCALE / max(1, len(part))))
-            counts = np.array([len(a) + len(b) for a, b in zip(index[::2], index[1::2])])
+                    held += len(found)
+                counts.append(held)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("y"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(index), pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(value), pa.float32()))],
@@ -119,24 +123,24 @@ def score_quality(df: DataFrame, model: Model | None, threshold: float = THRESHO
 
     ``base_failed``: fewer than 20 words, or more than 30 % of the words in repeated 8-word windows; such a text
     is not kept. A null or empty text has no words and fails. Without a model the probability is 1 and the base rules
-    decide alone. Every row is judged by its own text alone, so repeated rows get equal verdicts; other columns are carried along.
+    decide alone. Every row is judged by its own text alone, so repeated rows get equal verdicts; an empty table gives none.
+    Other columns are carried along, but those that have a result's name, or begin with ``__``, give way to the result's.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)  # 2**14 weights
-    named = df.withColumn("text", F.col(text))
-    keep = [c for c in named.columns if c != "text"]
+    held = df.sparkSession.sparkContext.broadcast(model)  # WIDTH weights
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keep = others(df.drop(text), *longs, "base_failed", "quality", "kept")
+    named = df.select(*keep, F.col(text).alias("__text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            for piece in pieces(batch):
-                texts = Texts(piece.column("text"))
+            for piece in pieces(batch, "__text"):
+                texts = Texts(piece.column("__text"))
                 words = texts.words()
                 base = base_counts(texts, words)
                 p = np.ones(texts.n)
                 if model:
-                    (word, nw), (gram, ng) = _features(texts, words)
-                    z = SCALE * (text_means(model.weights[word], nw) + text_means(model.weights[gram], ng)) + model.intercept
+                    z = SCALE * sum(text_means(model.weights[bucket], n) for bucket, n in _features(texts, words)) + model.intercept
                     p = sigmoid(model.slope * z + model.offset)
                 failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
                 arrays = [*[piece.column(c) for c in keep], *[pa.array(base[c].astype(np.int64)) for c in longs], pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
@@ -145,7 +149,7 @@ def score_quality(df: DataFrame, model: Model | None, threshold: float = THRESHO
     schema = named.select(*keep).schema
     for c in longs:
         schema = schema.add(c, "long")
-    return named.select(*keep, "text").mapInArrow(score, schema.add("base_failed", "boolean").add("quality", "double").add("kept", "boolean"))
+    return named.mapInArrow(score, schema.add("base_failed", "boolean").add("quality", "double").add("kept", "boolean"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

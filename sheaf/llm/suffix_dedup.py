@@ -400,5 +400,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
 
 
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS x FROM documents),
+place AS (SELECT doc_id, x, octet_length(raw) AS n, unnest(range(greatest(0, octet_length(raw) - 49))) AS i FROM d),
+win AS MATERIALIZED (SELECT doc_id, i, substr(x, (2 * i + 1)::BIGINT, 100) AS s FROM place),
+first AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS MATERIALIZED (SELECT w.doc_id, w.i FROM win w JOIN first f ON f.s = w.s WHERE f.d < w.doc_id),
+run AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM hit),
+grp AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM run),
+span AS MATERIALIZED (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM grp GROUP BY doc_id, g),
+kept AS (
+  SELECT doc_id, a AS cut_a, b AS cut_b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, a AS to_ FROM span
+  UNION ALL SELECT doc_id, NULL, NULL, max(b), NULL FROM span GROUP BY doc_id
+), rest AS (
+  SELECT k.doc_id, string_agg(CASE WHEN to_ IS NULL THEN substr(x, (2 * from_ + 1)::BIGINT) ELSE substr(x, (2 * from_ + 1)::BIGINT, (2 * (to_ - from_))::BIGINT) END, '' ORDER BY from_) AS x, sum(cut_b - cut_a) AS removed, count(cut_a) AS spans
+  FROM kept k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id
+)
+SELECT d.doc_id, octet_length(d.raw)::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(r.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN rest r ON r.doc_id = d.doc_id
+"""
+
 QUERIES = {"op10_suffix_dedup": op10}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_suffix_dedup": SQL}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import documents
+from ._session import documents, others
 from ._tokens import Memory, byte_lengths, default_path, encode, plain
 from ._text import pieces
 
@@ -28,14 +30,30 @@ def bounds(path: str) -> Encode:
     return lambda text: np.concatenate([[0], np.cumsum(lengths[encode(path, text)])])
 
 
-def _stable(data: bytes, at: int) -> bool:
-    """Whether a byte-level pre-tokenizer breaks before data[at] whatever encloses it: a single space stands there, between
-    ASCII characters or letters' bytes that are not white space. No merge crosses such a place, no special token's string has one."""
-    return 0 < at < len(data) - 1 and data[at] == 32 and _SOLID[data[at - 1]] and _SOLID[data[at + 1]]
+@lru_cache(maxsize=65536)
+def _kind(char: str) -> str:
+    """L, N, S (white space) or M (any other) as the pre-tokenizer tells characters apart, or an empty string for those that
+    an older edition of Unicode classes otherwise, so that libraries may differ on them."""
+    new, old = unicodedata.category(char), unicodedata.ucd_3_2_0.category(char)
+    if new != old or new[0] == "C":
+        return "S" if char in "\t\n\v\f\r" else ""
+    return "S" if new[0] == "Z" else new[0] if new[0] in "LN" else "M"
 
 
-#: Bytes of printable ASCII characters but the space. Others may belong to some wider white space.
-_SOLID = [33 <= c < 127 for c in range(256)]
+def _stable(data: bytes, at: int) -> bool:
+    """Whether a byte-level pre-tokenizer breaks before data[at] whatever encloses it, in any script: at a single space
+    between characters that are not white space, or where letters, digits and marks meet, but not after an apostrophe (which
+    may begin a contraction). No merge crosses such a place; one near the opening of a special token's string doesn't count."""
+    if not 0 < at < len(data) - 1 or data[at] & 0xC0 == 0x80 or b"<|" in data[max(0, at - 16) : at + 16]:
+        return False
+    here = data[at : at + 8].decode(errors="ignore")
+    before = data[max(0, at - 8) : at].decode(errors="ignore")[-1:]
+    if not before or len(here) < 2:
+        return False
+    last, first = _kind(before), _kind(here[0])
+    if here[0] == " ":
+        return last in "LNM" and last != "" and _kind(here[1]) not in ("", "S")
+    return last != "" and first != "" and "S" not in (last, first) and last != first and before != "'"
 
 
 def resynchronised(text: str, starts: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
@@ -45,7 +63,8 @@ def resynchronised(text: str, starts: Encode, chunk: int = CHUNK, overlap: int =
     spliced at the first common boundary that is proven stable: a token begins there in both encodings, the next
     ``AGREE`` tokens have equal bounds in both, and the text has a break there that the pre-tokenizer makes whatever
     surrounds it (so no merge crosses it). If there is none, the overlap is widened fourfold and the chunk encoded
-    anew, in the end as one longer chunk from the last splice on; so the count is that of the whole text's encoding."""
+    anew, in the end as one chunk from the last splice on, twice as long each time, so that a text without any such
+    place costs no more than a few times its length. So the count is that of the whole text's encoding."""
     data = text.encode()
     n = len(data)
 
@@ -67,6 +86,7 @@ def resynchronised(text: str, starts: Encode, chunk: int = CHUNK, overlap: int =
             until = whole(min(n, end + chunk))
             chunks += 1
             if start <= begin:
+                until = whole(min(n, end + max(chunk, end - begin)))
                 current, end = encoded_from(begin, until), until
                 break
             later = encoded_from(start, until)
@@ -97,17 +117,18 @@ def count_tokens(df: DataFrame, limit: int, path: str | None = None, text: str =
     Counts are those of the library for the whole text, without added special tokens. Texts longer than ``chunk``
     bytes are encoded in chunks (see ``resynchronised``); shorter ones piece by piece with a memory of pieces
     where that is proven equal, else at once. A null counts as an empty text: 0 bytes, 0 tokens. Every row is counted alone,
-    so repeated rows and ties don't matter; other columns are carried along.
+    so repeated rows and ties don't matter; an empty table gives none. Other columns are carried along, but those that have
+    a result's name, or begin with ``__``, give way to the result's.
     """
     path = path or default_path()
-    named = df.withColumn("text", F.col(text))
-    keep = [c for c in named.columns if c != "text"]
+    keep = others(df.drop(text), "n_bytes", "n_tokens", "over_limit", "n_chunks")
+    named = df.select(*keep, F.col(text).alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, starts = Memory(path), bounds(path)
         for batch in batches:
-            for piece in pieces(batch):
-                values = [v or "" for v in piece.column("text").to_pylist()]
+            for piece in pieces(batch, "__text"):
+                values = [v or "" for v in piece.column("__text").to_pylist()]
                 sizes = [len(v.encode()) for v in values]
                 tokens, chunks = np.zeros(len(values), np.int64), np.ones(len(values), np.int64)
                 short = [i for i, v in enumerate(values) if sizes[i] <= chunk and plain(v)]
@@ -117,7 +138,7 @@ def count_tokens(df: DataFrame, limit: int, path: str | None = None, text: str =
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(sizes, pa.int64()), pa.array(tokens), pa.array(tokens > limit), pa.array(chunks)], [*keep, "n_bytes", "n_tokens", "over_limit", "n_chunks"])
 
     schema = T.StructType(list(named.select(*keep).schema.fields)).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean").add("n_chunks", "long")
-    return named.select(*keep, "text").mapInArrow(count, schema)
+    return named.mapInArrow(count, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ._labels import labelled_sample
 from ._linear import Rows, fit_logistic, fit_platt, folds, sigmoid
-from ._session import documents
+from ._session import documents, others
 from ._text import Texts, mix, owners, pieces
 
 #: Bits of a hashed feature: so many that words of a large corpus hardly ever share one.
@@ -177,15 +177,18 @@ def score_chain(df: DataFrame, chain: dict[str, Link | None], verdict: str, thre
 
     Whole texts count. A null or empty text, and any text if the verdict's link is missing, has no evidence: it is
     not toxic; the probability of a missing link is null.
-    Repeated rows get equal verdicts; other columns are carried along, the text among them."""
+    Repeated rows get equal verdicts; an empty table gives none; other columns are carried along, the text among them, but
+    those that have a result's name, or begin with ``__``, give way to the result's."""
     held = df.sparkSession.sparkContext.broadcast(chain)  # FEATURES weights a link
-    names = df.columns
+    names = others(df, *[f"p_{c}" for c in chain], "toxic")
+    read = text if text in names else "__text"
+    df = df.select(*names, *([] if text in names else [F.col(text).alias("__text")]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = held.value
         for batch in batches:
-            for piece in pieces(batch, text):
-                texts = Texts(piece.column(text), lower=True)
+            for piece in pieces(batch, read):
+                texts = Texts(piece.column(read), lower=True)
                 feature, owner = _presence(texts)
                 feature = feature.astype(np.int64)
                 earlier, said = np.zeros((texts.n, 0)), {c: None for c in chain}
@@ -201,9 +204,9 @@ def score_chain(df: DataFrame, chain: dict[str, Link | None], verdict: str, thre
                     earlier = np.column_stack([earlier, _log_odds(p)])
                 toxic = np.zeros(texts.n, bool) if said.get(verdict) is None else (said[verdict] >= threshold) & (np.bincount(owner, minlength=texts.n) > 0)
                 shown = [pa.nulls(texts.n, pa.float64()) if p is None else pa.array(p) for p in said.values()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *shown, pa.array(toxic)], [*names, *[f"p_{c}" for c in chain], "toxic"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *shown, pa.array(toxic)], [*names, *[f"p_{c}" for c in chain], "toxic"])
 
-    schema = T.StructType(list(df.schema.fields))
+    schema = T.StructType([df.schema[c] for c in names])
     for c in chain:
         schema = schema.add(f"p_{c}", "double")
     return df.mapInArrow(score, schema.add("toxic", "boolean"))

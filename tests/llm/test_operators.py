@@ -156,12 +156,28 @@ def test_shards(spark):
     assert sharding.shard_by_bytes(df.limit(0), ["doc_id", "size"], "size", 5).count() == 0
 
 
-def test_targets():
-    t = mixing.source_targets([("a", 100), ("b", 10), (None, 50)], (3, 1, 2), 1.5, 2.0)
+def test_targets(spark):
+    def targets(sizes, weights):
+        df = spark.createDataFrame(sizes, "source string, source_size long")
+        return {r.source: r.target for r in mixing.source_targets(df, weights, 1.5, 2.0).collect()}
+
+    t = targets([("a", 100), ("b", 10), (None, 50)], (3, 1, 2))
     assert list(sorted(t, key=str)) == [None, "a", "b"]
     assert t["b"] == 20 and t["a"] <= 200 and t[None] <= 100 and abs(sum(t.values()) - 240) < 1e-6
-    assert mixing.source_targets([], (3, 1, 2), 1.5, 2.0) == {}
-    assert mixing.source_targets([("a", 0)], (3,), 1.5, 2.0) == {"a": 0.0}
+    assert targets([], (3, 1, 2)) == {}
+    assert targets([("a", 0)], (3,)) == {"a": 0.0}
+    rng = random.Random(3)
+    for _ in range(8):  # against rounds that stop one source after another
+        sizes = [(f"s{i}", rng.randint(0, 1000)) for i in range(7)] + [(None, rng.randint(0, 300))]
+        weight = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(sizes)}
+        left, open_, want = 1.5 * sum(n for _, n in sizes), dict(sizes), {}
+        while over := [s for s in open_ if left * weight[s] / sum(weight[o] for o in open_) > 2 * open_[s]]:
+            for s in over:
+                want[s] = 2.0 * open_.pop(s)
+            left = 1.5 * sum(n for _, n in sizes) - sum(want.values())
+        want |= {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        got = targets(sizes, (3, 1, 2))
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
 
 
 def test_mixing(spark):
