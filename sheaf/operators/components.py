@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder (a new one where none is set, as in tests) and read from there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sheaf-"))
-    return df.checkpoint(eager=True)
+    """df written to the shared folder as Parquet and read from there, so that the planner knows its real size (a
+    checkpoint would hand down an estimate that is squared every round)."""
+    folder = f"{shared_folder(df.sparkSession)}/components-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def grid_edges(cells: DataFrame, row: str, column: str, key: str, gap: int) -> DataFrame:

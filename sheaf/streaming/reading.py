@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ def reading_state_stream(events: DataFrame, now: int, tolerance: int = 60_000) -
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         top, reading, last, n = state.get if state.exists else (0, None, 0, 0)
         rows = pd.concat(list(batches)).sort_values("event_id")
-        for stamp, value, read in zip(rows["stamp"].tolist(), rows["reading"].tolist(), rows["read"].tolist()):
-            if stamp > top:
-                top, reading, last, n = stamp, value, max(last, read), n + 1
+        stamp, read = rows["stamp"].to_numpy(), rows["read"].to_numpy()
+        accepted = stamp > np.maximum.accumulate(np.append(top, stamp))[:-1]
+        if accepted.any():
+            top, reading = stamp[accepted][-1], rows["reading"].to_numpy()[accepted][-1]
+            last, n = max(last, read[accepted].max()), n + int(accepted.sum())
         state.update((int(top), reading, int(last), int(n)))
         yield pd.DataFrame({"user_id": [key[0]], "updated_at": [top], "reading": [reading], "last_read": [last], "n_accepted": [n]})
 
