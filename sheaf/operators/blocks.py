@@ -44,13 +44,3 @@ def untranslatable(text: Column) -> Column:
         .when((F.length(text) < 12) & (F.upper(text) == text), "capitals")
         .when(text.rlike(r"^\s*[0-9.,]+\s*[A-Za-z%]{1,3}\s*$"), "quantity")
     )
-
-
-def human_bytes(size: Column) -> Column:
-    """A size in steps of 1024: whole bytes, one decimal below 10, none from there."""
-    out = F.concat(size.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        scaled = size / float(1024**k)
-        shown = F.when(scaled < 10, F.concat((F.floor(scaled * 10) / 10).cast("decimal(10,1)").cast("string"), F.lit(f" {unit}"))).otherwise(F.concat(F.floor(scaled).cast("string"), F.lit(f" {unit}")))
-        out = F.when(size >= 1024**k, shown).otherwise(out)
-    return out

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, repeated
+from ..operators import blocks, repeated, rules
 from ..sources.tables import table
+from .shelf import bytes_sql
 
 
 def rect_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def nontranslatable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "source", "text").groupBy("source").agg(F.sum(F.octet_length("text").cast("long")).alias("b"))
-    return d.select("source", blocks.human_bytes(F.col("b")).alias("size"))
+    return d.select("source", rules.human_bytes(F.col("b")).alias("size"))
 
 
 QUERIES = {f.__name__: f for f in (rect_merge_fold, paragraph_merge, title_inference, nontranslatable_rules, human_sizes)}
@@ -65,9 +66,5 @@ c AS (SELECT doc_id, line_no, CASE WHEN length(trim(t)) = 0 THEN 'empty' WHEN NO
   WHEN regexp_full_match(t, '\s*[\w.]+\([^)]*\)\s*;?\s*') THEN 'code' WHEN length(t) < 12 AND upper(t) = t THEN 'capitals'
   WHEN regexp_full_match(t, '\s*[0-9.,]+\s*[A-Za-z%]{1,3}\s*') THEN 'quantity' END AS rule FROM l)
 SELECT doc_id, line_no, rule FROM c WHERE rule IS NOT NULL""",
-    "human_sizes": """
-WITH s AS (SELECT source, CAST(sum(octet_length(encode(text))) AS BIGINT) AS b FROM documents GROUP BY 1)
-SELECT source, CASE WHEN b < 1024 THEN b || ' B'
-  WHEN b < 1048576 THEN CASE WHEN b / 1024.0 < 10 THEN CAST(floor(b * 10 / 1024.0) / 10 AS DECIMAL(10, 1)) || ' KB' ELSE CAST(floor(b / 1024.0) AS BIGINT) || ' KB' END
-  ELSE CASE WHEN b / 1048576.0 < 10 THEN CAST(floor(b * 10 / 1048576.0) / 10 AS DECIMAL(10, 1)) || ' MB' ELSE CAST(floor(b / 1048576.0) AS BIGINT) || ' MB' END END AS size FROM s""",
+    "human_sizes": f"SELECT source, {bytes_sql('b')} AS size FROM (SELECT source, sum(octet_length(encode(text)))::BIGINT AS b FROM documents GROUP BY source)",
 }

@@ -24,5 +24,5 @@ r AS (SELECT l.source, l.line FROM l JOIN u USING (source) GROUP BY l.source, l.
       HAVING count(DISTINCT l.doc_id) >= greatest(3, floor(u.units * 0.05)))
 SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS new_no, line
 FROM l ANTI JOIN r USING (source, line)
-WHERE NOT regexp_full_match(line, '[0-9\s\-–—.,:;!?()\[\]{}<>/|+=*''"%&#$_~^@\\]*')""",
+WHERE NOT regexp_full_match(line, '[\s\d\-–—·°.,;:()\[\]{}<>+=*/|_~^%&$#@!?''"\\]+')""",
 }

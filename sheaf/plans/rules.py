@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
+from ..operators import spans
 from ..sources.tables import table
 
 TITLES = [
@@ -34,6 +35,12 @@ SPACED = ["  中 文 %k 和 %n  ", "a   b\t\tc​ %n", "深 度 （ 学习 ） 
 REPLIES = ["```json\n[\"%n\"]\n```", "```\n%n```", "%n", "  ```json %k ```  ", "x ``` y", "__STYLE_0001_OPEN__%n__STYLE_0001_CLOSE__ __MATH_0001__"]
 BROKEN = [("the long exam-", "ple of %n"), ("the long exam-", "Ple"), ("exa-__STYLE_0001_CLOSE__", "__STYLE_0002_OPEN__mple %n"), ("a-", "b"), ("%n", "  and so"), ("1-", "x"), ("ab-", "  cd")]
 
+CITED = [  # text, the same masked
+    ("As (Smith, 2020; Lee et al., 2019) show %n", "As __CITE_0000__ show %n"), ("Smith (2020) and Lee & Park (2019, 2021) say %n", "__CITE_0000__ and __CITE_0001__ say %n"), ("as in [1, 2–4] and [7] %k", "as in __CITE_0000__ and __CITE_0001__ %k"), ("see Table 2020 of %n", "see Table 2020 of %n"),
+    ("what van der Berg and Lee 2001a, b hold of %n", "what van __CITE_0000__ hold of %n"), ("__CITE_0000__ is used [%k]", "__CITE_0000__ is used __CITE_0001__"), ("shown by (Miller, ", "shown by __CITE_0000__"), ("2019; Lee 2020) we see %n", "__CITE_0000__ we see %n"), ("(see Smith, 2020) %n", "(see __CITE_0000__) %n"),
+    ("year Ox 20201 of %n", "year Ox 20201 of %n"), ("no cite of %n (at all)", "no cite of %n (at all)"), ("%n by Müller et al. 1999", "%n by __CITE_0000__"), ("(Smith, 2020; and others) %n", "(__CITE_0000__; and others) %n"), ("Lee et al., ", "__CITE_0000__"),
+]
+
 
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -109,6 +116,11 @@ def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", R.join_lines(F.col("a"), F.col("b")).alias("text"))
 
 
+def citations_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = filled(spark, sf_dir, text=_first(CITED)).withColumn("m", spans.mask_citations("text"))
+    return t.select("id", F.col("m.masked").alias("masked"), (spans.restore(F.col("m.masked"), F.col("m.tokens"), F.col("m.cited")) == F.col("text")).alias("restored"))
+
+
 def section_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a bibliography: on from its heading until a bold heading of another section."""
     from pyspark.sql.window import Window
@@ -235,7 +247,7 @@ _SECTIONS = ["%N text", "References", "[%k] Lee. %N", "Appendix A %n", "A. %N",
 _PAIRS = filled_sql(source=_first(PAIRS), translated=_second(PAIRS))
 _WANTED = "id % 5 <> 0 AND NOT untranslated"
 
-QUERIES = {f.__name__: f for f in (usable_titles, nontranslatable_texts, residual_clause, translation_issues, line_classes, spacing_normalised, replies_unfenced, joined_lines, section_marks)}
+QUERIES = {f.__name__: f for f in (usable_titles, nontranslatable_texts, residual_clause, translation_issues, line_classes, spacing_normalised, replies_unfenced, joined_lines, section_marks, citations_masked)}
 ORACLE_SQL = {
     "usable_titles": f"""SELECT id, title, (len(title) BETWEEN 2 AND 600 AND {_has('title', R.LETTER)} AND NOT contains(title, '@') AND lower(title) NOT IN {_names(R.PLACEHOLDER_TITLES)}
   AND NOT {_has('title', R.TITLE_FILE)} AND NOT {_has('title', R.TITLE_HASH)} AND NOT {_has('title', R.TITLE_ID)} AND NOT {_has('title', R.TITLE_NOTICE)}) AS usable
@@ -254,6 +266,7 @@ FROM (SELECT *, {_math_sql()} AS math, CASE {_KINDS} WHEN len(text) < 60 AND {_h
     "replies_unfenced": f"SELECT id, {_sub(_strip('reply'), R.FENCE, '')} AS body, {_sub("replace(reply, '__MATH_0001__', 'x_' || id)", R.STYLE_TOKEN, '')} AS plain FROM ({filled_sql(reply=REPLIES)})",
     "joined_lines": f"""SELECT id, CASE WHEN {_has('a', R.BREAK_END)} AND {_has('ltrim(b)', R.BREAK_START)}
   THEN {_sub('a', R.BREAK_END, r'\1\2')} || ltrim(b) ELSE a || ' ' || b END AS text FROM ({filled_sql(a=_first(BROKEN), b=_second(BROKEN))})""",
+    "citations_masked": f"SELECT id, masked, true AS restored FROM ({filled_sql(masked=_second(CITED))})",
     "section_marks": f"""WITH t AS (SELECT id // 37 AS doc, id * 7 % 37 AS line, id, {_strip('text')} AS text, id % 3 <> 0 AS bold FROM ({filled_sql(text=_SECTIONS)})),
 e AS (SELECT *, CASE WHEN {_has('text', R.CAPTIONS['references'])} THEN true WHEN bold AND {_has('text', R.AFTER_REFERENCES)} THEN false END AS event FROM t)
 SELECT doc::INTEGER AS doc, id, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line, id ROWS UNBOUNDED PRECEDING), false) AS skip FROM e""",
