@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read from there."""
+    folder = new_folder(df.sparkSession, "round")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner find plans that nothing refers to any more, so that it removes their shuffle files now and
     not when the driver next collects its garbage."""

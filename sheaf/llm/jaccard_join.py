@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import cut, documents, new_folder, shuffle_partitions, tidy
+from ._session import cut, documents, new_folder, shuffle_partitions, tidy, written
 from ._text import Texts, mix, pieces, windows
 
 SHINGLE = 5
@@ -32,6 +32,8 @@ BAND = 1.25
 PARITY = 2048
 #: Elements up to which a segment's content is light: not indexed by safe sets.
 LIGHT = 1
+#: Shingles of all documents for which there is one part of all signatures.
+PART = 8 << 20
 #: Documents of a chunk whose signatures leave a task together.
 CHUNK = 8192
 
@@ -293,13 +295,15 @@ def _across(nearest: bool):
     return pairs
 
 
-def roots(edges: DataFrame, label: str = "node") -> DataFrame:
+def roots(edges: DataFrame, label: str = "node", most: int | None = None) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): root is the least node of the connected component.
 
     Alternating steps join each node's greater neighbours, then its lesser ones, to the least neighbour, until nothing
-    changes; partial minima are taken before each shuffle, and lineage is cut at every round."""
-    current = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    held = None
+    changes; partial minima are taken before each shuffle. Each round is written as Parquet and read again, which cuts lineage
+    and tells the planner the real size (a checkpoint would hand down an estimate that is squared every round). There is no bound on
+    the rounds unless ``most`` gives one; if it is reached, that is an error."""
+    current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    held, rounds = None, 0
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -307,13 +311,15 @@ def roots(edges: DataFrame, label: str = "node") -> DataFrame:
         large = large.filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = cut(small.filter("u != v").distinct())
+        after = written(small.filter("u != v").distinct())
         mark = after.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")).first()
         current, large, low, small, both, least, after = after, None, None, None, None, None, None
         tidy(edges.sparkSession)
         if held == mark:
             break
-        held = mark
+        held, rounds = mark, rounds + 1
+        if rounds == most:
+            raise RuntimeError(f"components are not joined after {most} rounds")
     return current.groupBy(F.col("u").alias(label)).agg(F.min("v").alias("root"))
 
 
@@ -333,7 +339,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     described = cut(slim.mapInArrow(_describe, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long"))
     nodes = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    parts = 4 * shuffle_partitions(spark)
+    shingles = described.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(4 * shuffle_partitions(spark), -(-shingles // PART))
     packed = slim.filter("text is not null").mapInArrow(_signer(parts), "p int, nodes binary, which binary, short binary")
     lists = packed.groupBy("p").applyInArrow(_lists, "list long, nodes array<long>").groupBy("list").agg(F.first("nodes").alias("nodes"))
     lists = cut(lists)

@@ -35,6 +35,8 @@ SIZE, GRAM = 50, 16
 SPAN = SIZE - GRAM + 1
 #: Bytes of text of a chunk.
 CHUNK_BYTES = 2 << 20
+#: Bytes of text for which there is one part of all anchors: a part's task gets about as many.
+PART_BYTES = 64 << 20
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -238,7 +240,7 @@ def _send_kinds(parts: int):
             own = c.rep[c.order[c.cuts[p] : c.cuts[p + 1]]]
             if len(own):
                 s = c.units.string[own]
-                rows.append((chunk, p, (c.units.anchor[own] >> np.uint64(32)).astype("<u4").tobytes(), (s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((s >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes(), c.owner[own].astype("<i8").tobytes()))
+                rows.append((chunk, p, (c.units.anchor[own] >> np.uint64(32)).astype("<u4").tobytes(), (s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (s >> np.uint64(32)).astype("<u4").tobytes(), c.owner[own].astype("<i8").tobytes()))
         return pa.table({k: pa.array(v, t) for k, v, t in zip(_KINDS.names, zip(*rows) if rows else [()] * 6, _KINDS.types)})
 
     return send
@@ -253,7 +255,7 @@ def _answer(table: pa.Table) -> pa.Table:
     anchors = get("anchor", "<u4")
     sizes = np.array([len(a) for a in anchors])
     anchor = np.concatenate(anchors)
-    string = np.concatenate(get("low", "<u4")).astype(np.uint64) | np.concatenate(get("high", "<u2")).astype(np.uint64) << np.uint64(32)
+    string = np.concatenate(get("low", "<u4")).astype(np.uint64) | np.concatenate(get("high", "<u4")).astype(np.uint64) << np.uint64(32)
     doc = np.concatenate(get("doc", "<i8"))
     order = np.lexsort((doc, string, anchor))
     a, s, d = anchor[order], string[order], doc[order]
@@ -377,8 +379,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared_dir(spark)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(1, shuffle_partitions(spark))
-    chunks = max(parts, -(-total // CHUNK_BYTES))
+    parts = max(1, shuffle_partitions(spark), -(-total // PART_BYTES))
+    chunks = max(1, shuffle_partitions(spark), -(-total // CHUNK_BYTES))
     name = f"sheaf_repeats_{uuid.uuid4().hex}"
     rows = slim.withColumn("rid", F.monotonically_increasing_id()).withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int"))
     rows.repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").format("parquet").saveAsTable(name)
