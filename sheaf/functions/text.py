@@ -5,9 +5,10 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def collapse(x: Column) -> Column:
@@ -25,6 +26,18 @@ def literal_offsets(text: Column, needle: str) -> Column:
     return F.transform(ends, lambda e: e - len(needle))
 
 
+def literal_matches(df: DataFrame, key: str, text: str, needle: str, name: str = "at") -> DataFrame:
+    """(key, at) of all non-overlapping occurrences, one row each: the pieces between them are rows, and running sums of their
+    lengths are the offsets. Linear in the pieces; rows that repeat a key are told apart."""
+    rows = df.select(key, text, F.monotonically_increasing_id().alias("__row"))
+    parts = rows.select(key, "__row", F.posexplode(F.split(F.col(text), r"\Q" + needle + r"\E", -1)).alias("__i", "__part"))
+    sizes = parts.select(key, "__row", "__i", F.length("__part").alias("__n"))
+    w = Window.partitionBy(key, "__row").orderBy("__i")
+    upto = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__i") * len(needle)
+    last = F.lead("__i").over(w).isNull()
+    return sizes.select(key, upto.cast("int").alias(name), last.alias("__last")).filter("not __last").drop("__last")
+
+
 def snippet(text: Column, at: Column, size: int, before: int = 40, after: int = 60) -> Column:
     """What stands around a match, HTML-escaped, with ellipses where it is cut."""
     start = F.greatest(at - before, F.lit(0))

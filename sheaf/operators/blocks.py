@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import fold_rows, type_of
+
 
 def merge_rectangles(df: DataFrame, by: list[str]) -> DataFrame:
     """Rectangles x0, y0, x1, y1 in ascending order, each joined with the last result if they intersect (touching does not
     count), else a result of its own. Not a closure: earlier results are not looked at again. Gives (by, no, x0, y0, x1, y1)."""
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("r"))
-    kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
-    last = "element_at(a, -1)"
-    meets = f"size(a) > 0 AND greatest({last}.x0, b.x0) < least({last}.x1, b.x1) AND greatest({last}.y0, b.y0) < least({last}.y1, b.y1)"
-    union = f"named_struct('x0', least({last}.x0, b.x0), 'y0', least({last}.y0, b.y0), 'x1', greatest({last}.x1, b.x1), 'y1', greatest({last}.y1, b.y1))"
-    folded = F.expr(f"aggregate(cast(r AS {kind}), cast(array() AS {kind}), (a, b) -> IF({meets}, concat(slice(a, 1, size(a) - 1), array({union})), array_append(a, b)))")
-    return rows.select(*by, F.posexplode(folded).alias("no", "q")).select(*by, "no", "q.*")
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        last = None
+        for r in rows:
+            if last and max(last["x0"], r["x0"]) < min(last["x1"], r["x1"]) and max(last["y0"], r["y0"]) < min(last["y1"], r["y1"]):
+                last |= {"x0": min(last["x0"], r["x0"]), "y0": min(last["y0"], r["y0"]), "x1": max(last["x1"], r["x1"]), "y1": max(last["y1"], r["y1"])}
+                continue
+            if last:
+                yield last
+            last = r | {"no": last["no"] + 1 if last else 0}
+        if last:
+            yield last
+
+    box = ["x0", "y0", "x1", "y1"]
+    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in box])
+    return fold_rows(slim, by, box, step, ", ".join([*[type_of(df, c) for c in by], "no int", *[f"{c} double" for c in box]]))
 
 
 def merge_paragraphs(df: DataFrame, by: list[str], order: str, kind: str, text: str, most: int) -> DataFrame:
     """Successive rows of one kind joined by spaces while the accumulated text stays within most characters. Gives (by, no, kind, n, body)."""
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("k"), F.col(text).alias("t")))).alias("r"))
-    shape = "array<struct<k:string,n:int,t:string>>"
-    last = "element_at(a, -1)"
-    joins = f"size(a) > 0 AND {last}.k = b.k AND length({last}.t) + 1 + length(b.t) <= {most}"
-    grown = f"named_struct('k', b.k, 'n', {last}.n + 1, 't', concat({last}.t, ' ', b.t))"
-    folded = F.expr(f"aggregate(r, cast(array() AS {shape}), (a, b) -> IF({joins}, concat(slice(a, 1, size(a) - 1), array({grown})), array_append(a, named_struct('k', b.k, 'n', 1, 't', b.t))))")
-    return rows.select(*by, F.posexplode(folded).alias("no", "q")).select(*by, "no", F.col("q.k").alias(kind), F.col("q.n").alias("n"), F.col("q.t").alias("body"))
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        head, parts, size, no = None, [], 0, 0
+        for r in rows:
+            body = r[text] or ""
+            if head and head[kind] == r[kind] and size + 1 + len(body) <= most:
+                parts.append(body)
+                size += 1 + len(body)
+                continue
+            if head:
+                yield {**{c: head[c] for c in by}, "no": no, kind: head[kind], "n": len(parts), "body": " ".join(parts)}
+                no += 1
+            head, parts, size = r, [body], len(body)
+        if head:
+            yield {**{c: head[c] for c in by}, "no": no, kind: head[kind], "n": len(parts), "body": " ".join(parts)}
+
+    schema = [*[type_of(df, c) for c in by], "no int", type_of(df, kind), "n int", "body string"]
+    return fold_rows(df.select(*by, order, kind, text), by, [order, kind, text], step, ", ".join(schema))
 
 
 def title_candidate(df: DataFrame, by: str, size: Column, top: Column, text: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grouped import fold_rows, type_of
+
 
 def section_state(df: DataFrame, by: list[str], order: list[str], on: Column, off: Column, name: str = "inside") -> DataFrame:
     """Whether a row lies in a section: an on row opens one (it wins over off), an off row ends it and is itself outside."""
@@ -57,14 +61,18 @@ def even_sample(df: DataFrame, by: list[str], order: list[str], most: int = 60)
 
 def pack(df: DataFrame, by: list[str], order: list[str], size: str, items: int = 12, total: int = 6000, name: str = "chunk") -> DataFrame:
     """Greedy chunks of successive rows with at most so many items and so much size; an oversize row stands alone. Gives the
-    other columns and the chunk's number in the group. A fold: one group's order columns and sizes are held together."""
-    row = F.struct(*order, size)
-    folded = df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
-    start = "named_struct('n', 0, 's', 0L, 'c', -1, 'out', cast(array() as array<int>))"
-    full = f"(a.c < 0 OR a.n >= {items} OR a.s + r.{size} > {total})"
-    step = f"named_struct('n', IF({full}, 1, a.n + 1), 's', IF({full}, 0L, a.s) + cast(r.{size} AS BIGINT), 'c', IF({full}, a.c + 1, a.c), 'out', array_append(a.out, IF({full}, a.c + 1, a.c)))"
-    chunks = F.expr(f"aggregate(__rows, {start}, (a, r) -> {step}, a -> a.out)")
-    return folded.select(*by, F.explode(F.arrays_zip(F.col("__rows").alias("r"), chunks.alias("c"))).alias("x")).select(*by, "x.r.*", F.col("x.c").alias(name))
+    columns and the chunk's number in the group. A fold that keeps nothing but the running chunk's count and size."""
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        n, held, chunk = 0, 0, -1
+        for r in rows:
+            if chunk < 0 or n >= items or held + r[size] > total:
+                n, held, chunk = 0, 0, chunk + 1
+            n, held = n + 1, held + r[size]
+            yield r | {name: chunk}
+
+    slim = df.select(*by, *order, size)
+    return fold_rows(slim, by, [*order, size], step, ", ".join([*[type_of(slim, c) for c in slim.columns], f"{name} int"]))
 
 
 def outline_parents(df: DataFrame, by: list[str], order: str, level: str, levels: int, name: str = "parent") -> DataFrame:

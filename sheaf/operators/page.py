@@ -7,40 +7,22 @@ task for a page: a page is bounded by what is printed on it. All else is joins,
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from . import rules
 from .components import components
+from .grouped import fold_rows
 
 BOX = ("x0", "y0", "x1", "y1")
 
 
 def fold_pages(df: DataFrame, by: str, order: list[str], step: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """The rows that step makes of each page's rows in order. Pages are dealt by a shuffle and sorted; a task holds one page's
-    rows at a time."""
-    out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            made: list[dict] = []
-            for row in batch.to_pylist():
-                if held and held[0][by] != row[by]:
-                    made += step(held)
-                    held = []
-                held.append(row)
-            if made:
-                yield pa.RecordBatch.from_pylist(made, out)
-        if held:
-            yield pa.RecordBatch.from_pylist(step(held), out)
-
-    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+    """The rows that step makes of each page's rows in order."""
+    return fold_rows(df, [by], order, lambda rows: iter(step(list(rows))), schema)
 
 
 def may_join(a: dict, b: dict) -> bool:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, graphs, layout, library, lines, page, rules, shelf, streams
+from . import blocks, graphs, layout, library, lines, more, page, rules, shelf, streams
 
-_MODULES = (lines, layout, library, graphs, streams, blocks, rules, page, shelf)
+_MODULES = (lines, layout, library, graphs, streams, blocks, rules, page, shelf, more)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -77,8 +77,7 @@ def reading_state_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
-    return d.select("doc_id", F.explode(tx.literal_offsets(F.col("text"), "tion")).alias("at"))
+    return tx.literal_matches(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "tion")
 
 
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
