@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import cut, documents, new_folder, shuffle_partitions, tidy, written
+from ._session import cut, documents, new_folder, remove, shuffle_partitions, tidy, written
 from ._text import Texts, mix, pieces, windows
 
 SHINGLE = 5
@@ -383,8 +383,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_node = named.join(least, "root").select("node", "component_id")
     out = cut(described.join(of_node, "node", "left").select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, folder)
     return out
 
 

@@ -31,6 +31,11 @@ def test_run(spark, tmp_path):
         ("benchmark", [(0, item)], "item_id long, text string"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for stage, gone in ((corpus_pipeline.drop_toxic, toxic), (corpus_pipeline.drop_near_copies, set(copies)), (corpus_pipeline.drop_contaminated, leaks)):
+        before = {r.doc_id for r in kept.select("doc_id").collect()}
+        kept = stage(spark, kept, str(tmp_path))
+        assert {r.doc_id for r in kept.select("doc_id").collect()} == before - gone  # no clean document is lost
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     clean = set(range(160)) - toxic - set(copies) - leaks
     assert {r.doc_id for r in got} <= clean
@@ -61,3 +66,31 @@ def test_near_copies_without_ids_of_their_own(spark):
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     want = [(None, texts[0]), (None, texts[1]), (2, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (None, None), (None, ""), (9, "")]
     assert got.columns == docs.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, columns with the operators' names, and an empty table."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(70))
+    long, twice = " ".join(rng.choice(WORDS) for _ in range(30_000)), text()
+    texts = [None, "", " ", twice, twice, long, *[text() for _ in range(20)]]
+    rows = [(i % 17 if i % 6 else None, t, None if i % 4 == 0 else f"s{i % 2}", 1000 + i, "toxic?", None) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, source string, size long, toxic string, `repeats` string"
+    spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "nothing like this stands anywhere\nnor this"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    shown = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_contaminated):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and shown(got) == shown(docs)
+    got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and got.count() == len(rows) - 1 and set(shown(got)) < set(shown(docs))
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and set(shown(mixed)) <= set(shown(docs))
+    whole = sum(len((t or "").split()) for t in texts)
+    assert abs(sum(len((r.text or "").split()) for r in mixed.collect()) - 1.5 * whole) <= 30_000
+    ids = corpus_pipeline.write_tokens(spark, docs, str(tmp_path)).collect()
+    assert len(ids) == len(rows) and sorted(r.n_tokens for r in ids)[:2] == [1, 1]
+    none = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
