@@ -31,11 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read from there."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """(df written to the shared folder as Parquet and read from there, the folder)."""
     folder = new_folder(df.sparkSession, "round")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
 def tidy(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ Everything is done for a whole piece of a batch at once. A piece holds whole tex
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,19 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def released() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """batch in slices of whole rows with about limit bytes of text each."""
     n = batch.num_rows
@@ -76,6 +90,7 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE) -> Ite
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    released()
 
 
 def hash_of(number: np.ndarray, place: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 from ._text import hash_of
 
 #: Pieces that a process remembers; when so many are held, it begins anew.
-MEMORY = 1_500_000
+MEMORY = 900_000
 
 _loaded: dict[str, object] = {}
 
@@ -124,11 +124,11 @@ class Pieces:
             self._clear()
 
     def _clear(self) -> None:
-        self.kept |= {"key": np.zeros(0, np.uint64), "slot": np.zeros(0, np.int64), "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int64), "used": 0, "n": 0, "size": np.zeros(1 << 16, np.int64), "eight": np.zeros(1 << 16, np.uint64), "eight_at": np.zeros(1 << 16, np.int64), "eights": 0}
+        self.kept |= {"key": np.zeros(0, np.uint64), "slot": np.zeros(0, np.int32), "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int32), "used": 0, "n": 0, "size": np.zeros(1 << 16, np.int32), "eight": np.zeros(1 << 16, np.uint64), "eight_at": np.zeros(1 << 16, np.int32), "eights": 0}
 
     def _room(self, name: str, n: int) -> None:
         while n > len(self.kept[name]):
-            self.kept[name] = np.concatenate([self.kept[name], np.zeros_like(self.kept[name])])
+            self.kept[name] = np.concatenate([self.kept[name], np.zeros(len(self.kept[name]) // 2, self.kept[name].dtype)])
 
     def _add(self, keys: np.ndarray, names: list[bytes], number: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         """Encodes new pieces and keeps them and their bytes."""
@@ -165,7 +165,7 @@ class Pieces:
         kept["ids"][used : used + len(flat)] = flat
         kept["begin"][n + 1 : n + 1 + len(names)] = used + upto
         place = np.searchsorted(kept["key"], keys)
-        kept["key"], kept["slot"] = np.insert(kept["key"], place, keys), np.insert(kept["slot"], place, np.arange(n, n + len(names)))
+        kept["key"], kept["slot"] = np.insert(kept["key"], place, keys), np.insert(kept["slot"], place, np.arange(n, n + len(names), dtype=np.int32))
         kept["n"], kept["used"] = n + len(names), used + len(flat)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ class Pieces:
             new = np.flatnonzero(~known)
             if not len(new):
                 break
-            if attempt == 0 and kept["n"] + len(new) > MEMORY:
+            if attempt == 0 and (kept["n"] + len(new) > MEMORY or kept["eights"] > 4 * MEMORY or kept["used"] > 8 * MEMORY):
                 self._clear()
                 new = np.arange(len(unique))
             f = first[new]
@@ -224,7 +224,7 @@ class Pieces:
             own = number[at8[f][whose] + np.arange(len(whose)) - upto[whose]]
             self._add(unique[new], [data[a:b].tobytes() for a, b in zip(starts[f].tolist(), ends[f].tolist())], own, upto, size[f])
         slot = kept["slot"][np.searchsorted(kept["key"], unique)][which]
-        from_ = kept["begin"][slot]
+        from_ = kept["begin"][slot].astype(np.int64)
         counts = kept["begin"][slot + 1] - from_
         upto = np.cumsum(counts)
         ids = kept["ids"][np.arange(int(upto[-1])) + np.repeat(from_ - (upto - counts), counts)]

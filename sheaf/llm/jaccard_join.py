@@ -34,8 +34,8 @@ PARITY = 2048
 LIGHT = 1
 #: Shingles of all documents for which there is one part of all signatures.
 PART = 8 << 20
-#: Documents of a chunk whose signatures leave a task together.
-CHUNK = 8192
+#: Documents, and signatures, of a chunk that leaves a task together.
+CHUNK, SIGNATURES = 8192, 2 << 20
 
 
 def element_sets(texts: Texts, size: int = SHINGLE) -> list[np.ndarray]:
@@ -174,7 +174,11 @@ def _signer(parts: int):
         nodes, held = [], []
         seen: set[int] = set()
 
+        total = 0
+
         def flush() -> pa.RecordBatch:
+            nonlocal total
+            total = 0
             signature = np.concatenate(held)
             which = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
             part = (signature % np.uint64(parts)).astype(np.int64)
@@ -193,7 +197,8 @@ def _signer(parts: int):
                             seen.add(node)
                         nodes.append(node)
                         held.append(signatures(s))
-                        if len(held) == CHUNK or sum(map(len, held[-1:])) > 1 << 20:
+                        total += len(held[-1])
+                        if len(held) == CHUNK or total > SIGNATURES:
                             yield flush()
         if held:
             yield flush()
@@ -302,7 +307,8 @@ def roots(edges: DataFrame, label: str = "node", most: int | None = None) -> Dat
     changes; partial minima are taken before each shuffle. Each round is written as Parquet and read again, which cuts lineage
     and tells the planner the real size (a checkpoint would hand down an estimate that is squared every round). There is no bound on
     the rounds unless ``most`` gives one; if it is reached, that is an error."""
-    current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    spark = edges.sparkSession
+    current, folder = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     held, rounds = None, 0
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -311,10 +317,12 @@ def roots(edges: DataFrame, label: str = "node", most: int | None = None) -> Dat
         large = large.filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = written(small.filter("u != v").distinct())
+        after, new = written(small.filter("u != v").distinct())
         mark = after.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")).first()
         current, large, low, small, both, least, after = after, None, None, None, None, None, None
-        tidy(edges.sparkSession)
+        tidy(spark)
+        remove(spark, folder)
+        folder = new
         if held == mark:
             break
         held, rounds = mark, rounds + 1
