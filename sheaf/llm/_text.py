@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 2 << 20
+#: Steps of eight bytes that are hashed at a time.
+STEPS = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -130,7 +132,11 @@ class Texts:
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand. Each eight bytes are mixed
         with their place before they are added up, so no pattern of bytes cancels out."""
-        return hash_of(*self.eights(starts, ends), ends - starts) if len(starts) else np.zeros(0, np.uint64)
+        upto = np.cumsum((ends - starts + 7) >> 3)
+        if not len(upto) or upto[-1] <= STEPS:
+            return hash_of(*self.eights(starts, ends), ends - starts) if len(starts) else np.zeros(0, np.uint64)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(STEPS, upto[-1], STEPS)), [len(starts)]]))
+        return np.concatenate([hash_of(*self.eights(starts[a:b], ends[a:b]), ends[a:b] - starts[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
 
     def grams(self, size: int) -> np.ndarray:
         """64-bit hash of each run of ``size`` bytes (a few dozen at most), runs over the ends of texts among them."""

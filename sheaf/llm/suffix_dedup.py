@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._session import cut, documents, shared_dir, shuffle_partitions
-from ._text import Texts, mix, pieces
+from ._text import Texts, mix, pieces, released
 
 SIZE, GRAM = 50, 16
 SPAN = SIZE - GRAM + 1
@@ -234,6 +234,7 @@ class _Chunk:
 
 def _send_kinds(parts: int):
     def send(table: pa.Table) -> pa.Table:
+        released()
         c = _Chunk(table, parts)
         chunk, rows = table.column("chunk")[0].as_py(), []
         for p in range(parts):
@@ -251,6 +252,7 @@ _KINDS = pa.schema([("chunk", pa.int32()), ("p", pa.int32()), ("anchor", pa.bina
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each kind: 1 if a smaller document has it, 2 if it is left and another document's kind that is left has its anchor."""
+    released()
     get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
     anchors = get("anchor", "<u4")
     sizes = np.array([len(a) for a in anchors])
@@ -278,6 +280,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _send_strings(parts: int):
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        released()
         rows = []
         if texts.num_rows:
             c = _Chunk(texts, parts)
@@ -301,6 +304,7 @@ _STRINGS = pa.schema([("chunk", pa.int32()), ("p", pa.int32()), ("kinds", pa.bin
 
 def _sort_strings(table: pa.Table) -> pa.Table:
     """Repeated windows of the kinds of a part: a byte for each window of each kind."""
+    released()
     get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
     sizes, bytes_ = get("size", "<u1"), get("bytes", np.uint8)
     flagged = repeated_windows(np.concatenate(bytes_), np.concatenate(sizes).astype(np.int64), np.concatenate(get("doc", "<i8")))
@@ -312,6 +316,7 @@ def _remove(parts: int, columns: list[str]):
     def remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _RESULT.empty_table()
+        released()
         c = _Chunk(texts, parts)
         answers = answers.to_pylist()
         said = np.zeros(len(c.rep), np.uint8)
