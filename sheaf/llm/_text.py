@@ -111,7 +111,7 @@ class Texts:
         if lower:
             self.data = LOWER[self.data]
         self.n = len(self.offsets) - 1
-        self._padded = self._points = None
+        self._padded = self._points = self._prefix = None
 
     def eights(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bytes of each span in steps of eight as little-endian numbers, zeros after its end: (numbers of all spans on
@@ -138,11 +138,23 @@ class Texts:
         cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(STEPS, upto[-1], STEPS)), [len(starts)]]))
         return np.concatenate([hash_of(*self.eights(starts[a:b], ends[a:b]), ends[a:b] - starts[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
 
+    def prefix(self) -> np.ndarray:
+        """Running sums of the bytes' polynomial, made once."""
+        if self._prefix is None:
+            n = len(self.data)
+            self._prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum(_OF_BYTE[self.data] * _power("base", _BASE, n), out=self._prefix[1:])
+        return self._prefix
+
+    def short_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hash of spans of some hundred bytes at most, by the polynomial: patterns that cancel out need 1024 bytes."""
+        total = self.prefix()
+        spans = (total[ends] - total[starts]) * _power("inverse", _INVERSE, len(self.data) + 1)[starts]
+        return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
     def grams(self, size: int) -> np.ndarray:
         """64-bit hash of each run of ``size`` bytes (a few dozen at most), runs over the ends of texts among them."""
-        n = len(self.data)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_OF_BYTE[self.data] * _power("base", _BASE, n), out=prefix[1:])
+        n, prefix = len(self.data), self.prefix()
         spans = prefix[size:] - prefix[: n + 1 - size]
         spans *= _power("inverse", _INVERSE, n + 1)[: len(spans)]
         spans ^= spans >> np.uint64(31)

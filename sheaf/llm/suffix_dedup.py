@@ -182,7 +182,7 @@ class Units:
         self.first = window[begin]
         self.last = window[np.append(begin[1:], len(window)) - 1]
         self.anchor = key[begin]
-        self.string = mix(texts.hashes(self.first, self.last + SIZE) + (place[begin] - self.first).astype(np.uint64))
+        self.string = mix(texts.short_hashes(self.first, self.last + SIZE) + (place[begin] - self.first).astype(np.uint64))
         self.text = np.searchsorted(offsets, self.first, "right") - 1
 
     @staticmethod
