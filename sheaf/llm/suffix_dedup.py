@@ -36,7 +36,7 @@ SPAN = SIZE - GRAM + 1
 #: Bytes of text of a chunk.
 CHUNK_BYTES = 2 << 20
 #: Bytes of text for which there is one part of all anchors: a part's task gets about as many.
-PART_BYTES = 64 << 20
+PART_BYTES = 8 << 20
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -234,7 +234,6 @@ class _Chunk:
 
 def _send_kinds(parts: int):
     def send(table: pa.Table) -> pa.Table:
-        released()
         c = _Chunk(table, parts)
         chunk, rows = table.column("chunk")[0].as_py(), []
         for p in range(parts):
@@ -252,7 +251,6 @@ _KINDS = pa.schema([("chunk", pa.int32()), ("p", pa.int32()), ("anchor", pa.bina
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each kind: 1 if a smaller document has it, 2 if it is left and another document's kind that is left has its anchor."""
-    released()
     get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
     anchors = get("anchor", "<u4")
     sizes = np.array([len(a) for a in anchors])
@@ -280,7 +278,6 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _send_strings(parts: int):
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        released()
         rows = []
         if texts.num_rows:
             c = _Chunk(texts, parts)
@@ -316,7 +313,6 @@ def _remove(parts: int, columns: list[str]):
     def remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _RESULT.empty_table()
-        released()
         c = _Chunk(texts, parts)
         answers = answers.to_pylist()
         said = np.zeros(len(c.rep), np.uint8)
