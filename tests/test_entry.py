@@ -45,6 +45,14 @@ def test_intervals_that_touch_stay_apart(spark):
     assert [(r.start, r.end, r.n) for r in got] == [(0, 6, 2), (6, 8, 1), (20, 21, 1)]
 
 
+def test_equal_intervals_are_one_union(spark):
+    """Rows that the order leaves tied (as order 145164 of sf0.1 has) neither split an island nor join the one before."""
+    rows = [(1, 60.0, 82.0), (1, 20.0, 35.0), (1, 60.0, 82.0), (1, 20.0, 30.0), (2, 5.0, 5.0), (2, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "k int, start double, end double").repartition(3)
+    got = intervals.merge_intervals(df, ["k"], "start", "end").orderBy("k", "start").collect()
+    assert [tuple(r) for r in got] == [(1, 20, 35, 2), (1, 60, 82, 2), (2, 5, 5, 1), (2, 5, 5, 1)]
+
+
 def test_rejected_events_leave_no_trace(spark):
     rows = [(1, 1, 10, "a", 10), (1, 2, 5, "b", 999), (1, 3, 10, "c", 50), (1, 4, 11, "d", 3), (1, 5, 2_000_000, "e", 1)]
     df = spark.createDataFrame(rows, "k int, at int, stamp long, value string, read long")
