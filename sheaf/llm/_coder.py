@@ -8,15 +8,15 @@ all of them. Everything is integer arithmetic, the same in coder and decoder.
 For each id in turn the models say:
 
 * order 2 and order 1: the id that followed this context before in the block, with a confidence that grows and falls; where
-  order 1 knows nothing yet, the id that most often follows in the segment. The candidate is order 2's, or order 1's
-  where order 2 knows nothing;
-* how likely the candidate is: the adaptive odds of both confidences (order 1's also by whether it agrees), mixed in
-  the logistic domain with weights that are learned on the way;
+  order 1 knows nothing yet, the id that most often follows in the segment after ids of the same slot. The candidate is order 2's,
+  or order 1's where order 2 knows nothing;
+* how likely the candidate is: each order has log odds for its confidence and whether order 1 agrees; they are mixed by
+  adding them up, and each learns from the error of the mixture;
 * if it is not the candidate, order 0: the ids are parted into ``CLASSES`` classes of such as stand in the same blocks; how
   frequent each class is adapts with every id of the block; inside a class, ids are as frequent as in the segment.
 
-The header has the ids, their counts and their followers. The interval arithmetic has 56 bits; digits have 16, and
-carries are resolved at the end.
+The header has the ids, their counts and the followers; all are counted over every id of the segment. The interval
+arithmetic has 63 bits and another for the carry; digits have 32, and carries are resolved at the end.
 """
 
 from __future__ import annotations
@@ -27,31 +27,51 @@ import zlib
 import numpy as np
 
 BLOCK, CLASSES, HASH_BITS = 1024, 16, 10
-TOP, MANY = 56, 1 << 40
+#: Bits of the interval; below this width a digit is due.
+TOP = 63
+_MANY = np.uint64(1 << TOP - 32)
 #: Bits of a class's frequency, and least frequency of a class; the rate at which classes adapt.
 CLASS_BITS, LEAST, RATE = 14, 64, 4
-#: Bits of a frequency inside a class: with the least odds and class there is at least 1 left of 32 bits. So a class has at most
-#: 131072 ids, all together 2097152.
+#: Bits of a frequency inside a class: of an interval of 31 bits at least, the candidate leaves a 64th part, the least class 8 bits
+#: less of it, so 17 are left. So a class has at most 131072 ids, all together 2097152.
 MOST_BITS = 17
-_SQUASH = np.array([min(4032, max(32, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int64)
-_STRETCH = np.repeat(np.array([min(2047, max(-2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32), 16)  # of odds out of 65536
-_MASK = (1 << HASH_BITS) - 1
+_PLACE_BITS = 21
+_SQUASH = np.array([min(4032, max(32, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int32)
+#: The rate at which log odds learn.
+STEP = 5
+_KINDS = 64  # of log odds of an order: 32 confidences, order 1 agrees or not
+_MULTIPLIERS = np.array([[0x9E3779B1], [0x85EBCA6B]], np.uint32)
+_SHIFT, _SECOND = np.uint32(32 - HASH_BITS), np.uint32(0xC2B2AE35)
+_KEPT = np.array([[14], [0]], np.uint32)  # order 1 lets go of an id by and by, order 2 at once
+
+
+def _log_odds(p: float) -> int:
+    return round(256 * math.log(p / (1 - p)))
+
+
+#: Log odds at a block's beginning. Confidences: 0 nothing known, 1 to 15 seen in the block, from 16 on sixteenths in the segment.
+_FIRST = np.zeros((2, 32, 2), np.int32)
+for _c in range(32):
+    _one = 0.03 + 0.06 * _c if _c < 16 else 0.03 + 0.94 * (_c - 16) / 16
+    _FIRST[0, _c] = _log_odds(min(0.95, _one)) // 2
+    _FIRST[1, _c] = _log_odds(min(0.95, 0.06 + 0.043 * _c)) // 2 if 0 < _c < 16 else 0
 #: What a class draws the adaptive cumulative frequencies to: LEAST for each class below, and all that is free for those beyond it.
-_ROWS = np.arange(CLASSES + 1, dtype=np.int16)[:, None]
+_ROWS = np.arange(1, CLASSES, dtype=np.int16)[:, None]
 _BELOW, _FREE = _ROWS * np.int16(LEAST), np.int16((1 << CLASS_BITS) - LEAST * CLASSES)
 
 
 class Header:
-    """State in which the models of every block of a segment begin: ids in their order, counts, classes, followers."""
+    """State in which the models of every block of a segment begin: ids in their order, counts, classes, and for each slot of
+    order 1 the follower and how sure it is (16 to 31)."""
 
     def __init__(self, names: np.ndarray, times: np.ndarray, heads: np.ndarray, follower: np.ndarray, sure: np.ndarray):
-        self.names, self.times, self.heads, self.follower, self.sure = names, times, heads, follower, sure  # how sure: 16 to 31
+        self.names, self.times, self.heads, self.follower, self.sure = names, times, heads, follower, sure
         n, most = len(names), int(np.diff(heads).max())
-        self.bits = min(MOST_BITS, max(12, (8 * most - 1).bit_length()))
-        scale = 1 << self.bits
-        self.group = np.repeat(np.arange(CLASSES), np.diff(heads)).astype(np.int32)
-        self.low, self.high = np.empty(n, np.int64), np.empty(n, np.int64)
-        self.at = np.zeros(CLASSES << self.bits, np.int32)
+        self.bits = np.uint64(min(MOST_BITS, max(12, (8 * most - 1).bit_length())))
+        scale = 1 << int(self.bits)
+        self.group = np.repeat(np.arange(CLASSES), np.diff(heads)).astype(np.int16)
+        self.low, self.size = np.empty(n, np.uint32), np.empty(n, np.uint32)
+        self.at = np.zeros(CLASSES * scale, np.int32)
         start, whole = np.zeros(CLASSES, np.int64), max(1, int(times.sum()))
         for c in range(CLASSES):
             a, b = int(heads[c]), int(heads[c + 1])
@@ -59,9 +79,9 @@ class Header:
             if b > a:
                 share = 1 + times[a:b] * (scale - (b - a)) // max(1, int(start[c]))
                 share[int(share.argmax())] += scale - int(share.sum())
-                self.high[a:b] = np.cumsum(share)
-                self.low[a:b] = self.high[a:b] - share
-                self.at[c << self.bits : (c + 1) << self.bits] = np.repeat(np.arange(a, b, dtype=np.int32), share)
+                self.size[a:b] = share
+                self.low[a:b] = np.cumsum(share) - share
+                self.at[c * scale : (c + 1) * scale] = np.repeat(np.arange(a, b, dtype=np.int32), share)
         free = (1 << CLASS_BITS) - LEAST * CLASSES
         share = LEAST + start * free // whole
         share[int(share.argmax())] += (1 << CLASS_BITS) - int(share.sum())
@@ -74,10 +94,10 @@ class Header:
     @staticmethod
     def unpack(raw: bytes) -> Header:
         raw = zlib.decompress(raw)
-        n = int(np.frombuffer(raw, "<u4", 1)[0])
-        cells = np.frombuffer(raw, "<u4", 3 * n + CLASSES + 2).astype(np.int64)
+        n, slots = int(np.frombuffer(raw, "<u4", 1)[0]), 1 << HASH_BITS
+        cells = np.frombuffer(raw, "<u4", 2 * n + CLASSES + 2 + slots).astype(np.int64)
         heads = cells[1 + 2 * n : 2 + 2 * n + CLASSES]
-        return Header(cells[1 : 1 + n], cells[1 + n : 1 + 2 * n], heads, cells[2 + 2 * n + CLASSES :].astype(np.int32), np.frombuffer(raw, np.uint8, n, 4 * (3 * n + CLASSES + 2)).astype(np.int32))
+        return Header(cells[1 : 1 + n], cells[1 + n : 1 + 2 * n], heads, cells[2 + 2 * n + CLASSES :].astype(np.int32), np.frombuffer(raw, np.uint8, slots, 4 * len(cells)).astype(np.int32))
 
 
 def _survey(ids: np.ndarray) -> tuple[Header, np.ndarray]:
@@ -92,18 +112,14 @@ def _survey(ids: np.ndarray) -> tuple[Header, np.ndarray]:
         place = place[ids]
     else:
         names, place, times = np.unique(ids, return_inverse=True, return_counts=True)
-    n, lanes = len(names), -(-len(ids) // BLOCK)
-    owner = np.arange(len(ids)) // BLOCK
-    weight = 1.0 / np.sqrt(times)
+    n, heads = len(names), np.arange(0, len(ids), BLOCK)
+    lengths = np.diff(np.append(heads, len(ids)))
+    weight, mass = 1.0 / np.sqrt(times), np.sqrt(times / len(ids))
     x = np.cos(np.arange(n) * 1.7)
-    mass = np.sqrt(times / len(ids))
-    per_block = 1.0 / np.bincount(owner, minlength=lanes)
-    each = slice(None, None, max(1, len(ids) >> 17))  # the order only steers the models, it needs no more
-    few, whose = place[each], owner[each]
-    for _ in range(6):
+    for _ in range(3):
         x -= mass * float(mass @ x)
-        of_block = np.bincount(whose, (weight * x)[few], minlength=lanes) * per_block
-        x = weight * np.bincount(few, of_block[whose], minlength=n)
+        of_block = np.add.reduceat((weight * x).take(place), heads) / lengths
+        x = weight * np.bincount(place, np.repeat(of_block, lengths), n)
         x /= max(1e-30, math.sqrt(float(x @ x)))
     order = np.lexsort((-times, np.round(x * weight, 9)))
     upto = np.cumsum(times[order]) - times[order] / 2
@@ -112,94 +128,84 @@ def _survey(ids: np.ndarray) -> tuple[Header, np.ndarray]:
         heads = np.arange(CLASSES + 1) * n // CLASSES
         if n > CLASSES << MOST_BITS:
             raise ValueError(f"more than {CLASSES << MOST_BITS} different ids in a segment")
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.uint32)
     rank[order] = np.arange(n)
-    place = rank[place]
-    some = np.arange(0, len(ids) - 1, max(1, len(ids) >> 18))  # followers too
-    pair, seen = np.unique(place[some] * n + place[some + 1], return_counts=True)
-    first, second = pair // n, pair % n
-    total = np.bincount(place[some], minlength=n)
-    best = np.lexsort((second, -seen, first))
-    best = best[np.concatenate([[True], first[best][1:] != first[best][:-1]])] if len(best) else best
-    follower, sure = np.zeros(n, np.int32), np.full(n, 16, np.int32)
-    follower[first[best]] = second[best]
-    sure[first[best]] = 16 + np.minimum(15, 16 * seen[best] // total[first[best]])
-    return Header(names[order].astype(np.int64), times[order].astype(np.int64), heads, follower, sure), place.astype(np.int32)
+    place = rank.take(place)
+    slot = np.arange(n, dtype=np.uint32) * _MULTIPLIERS[0, 0] >> _SHIFT
+    pair = np.sort(slot.take(place[:-1]) << np.uint32(_PLACE_BITS) | place[1:])  # 31 bits
+    follower, sure = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+    if len(pair):
+        begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        seen, pair = np.diff(np.append(begin, len(ids) - 1)), pair[begin].astype(np.int64)
+        first = pair >> _PLACE_BITS
+        edge = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        best = np.maximum.reduceat(seen << 31 | pair, edge)
+        follower[first[edge]] = best & (1 << _PLACE_BITS) - 1
+        sure[first[edge]] = 16 + np.minimum(15, 16 * (best >> 31) // np.add.reduceat(seen, edge))
+    return Header(names[order].astype(np.int64), times[order].astype(np.int64), heads, follower, sure), place
 
 
 class _Models:
-    """Models of many blocks; each has a lane."""
+    """Models of many blocks; each has a lane. Arrays with two rows hold order 1 and order 2."""
 
     def __init__(self, lanes: int, header: Header):
-        self.header = header
-        self.at = np.arange(lanes, dtype=np.int64) << HASH_BITS
-        self.at16, self.at64 = np.arange(lanes, dtype=np.int32) * 16, np.arange(lanes, dtype=np.int32) * 64
-        self.seen1, self.seen2 = np.zeros(lanes << HASH_BITS, np.int32), np.zeros(lanes << HASH_BITS, np.int32)  # place * 16 + confidence
-        start = np.array([4096 + 2800 * c for c in range(16)], np.int32)
-        self.odds2, self.odds1 = np.tile(start, lanes), np.tile(np.concatenate([np.repeat(start, 2), np.repeat(2048 + 3900 * np.arange(16, dtype=np.int32), 2)]), lanes)
-        self.w2, self.w1 = (np.full(lanes, w, np.int64) for w in (34000, 40000))
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        slots = 1 << HASH_BITS
+        self.at = (np.arange(lanes) + np.array([[0], [lanes]])) * slots
+        self.seen = np.zeros(2 * lanes * slots, np.int32)  # place * 32 + confidence
+        self.seen[: lanes * slots].reshape(lanes, slots)[:] = header.follower << 5 | header.sure
+        self.kinds = (np.arange(lanes) + np.array([[0], [lanes]])) * _KINDS
+        self.odds = np.repeat(_FIRST.reshape(2, 1, _KINDS), lanes, 1).ravel()
+        self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.classes = np.repeat(header.start[:, None], lanes, 1)  # a row for each bound
+        self.draw = np.empty((CLASSES - 1, lanes), np.int16)
+        self.slot, self.i, self.j = np.empty((2, lanes), np.uint32), np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int64)
 
     def predict(self) -> None:
-        p1 = self.p1
-        i1, i2 = p1 * 0x9E3779B1, p1 * 0x85EBCA6B
-        i1 >>= 15
-        i1 &= _MASK
-        i1 += self.at
-        i2 += self.p2 * 0xC2B2AE35
-        i2 >>= 17
-        i2 &= _MASK
-        i2 += self.at
-        e1, e2 = self.seen1.take(i1), self.seen2.take(i2)
-        c1, c2 = e1 & 15, e2 & 15
-        self.r1, self.r2 = e1 >> 4, e2 >> 4
-        first = c1 == 0
-        r1 = np.where(first, self.header.follower.take(p1), self.r1)
-        self.a = np.where(c2 > 0, self.r2, r1)
-        j1 = np.where(first, self.header.sure.take(p1), c1)
-        j1 += j1
-        j1 += r1 == self.a
-        j1 += self.at64
-        j2 = c2 + self.at16
-        self.q2, self.q1 = self.odds2.take(j2), self.odds1.take(j1)
-        self.s2, self.s1 = _STRETCH.take(self.q2), _STRETCH.take(self.q1)
-        mixed = self.w2 * self.s2
-        mixed += self.w1 * self.s1
-        mixed >>= 16
+        """The candidate ``a`` and how likely it is, ``p`` of 4096."""
+        slot = self.slot
+        np.multiply(self.p1, _MULTIPLIERS, out=slot)
+        slot[1] += self.p2
+        slot >>= _SHIFT
+        np.add(slot, self.at, out=self.i)
+        e = self.e = self.seen.take(self.i)
+        c = self.c = e & 31
+        r = self.r = e >> 5
+        self.a = np.where(c[1] > 0, r[1], r[0])
+        j = c + c
+        j += r[0] == self.a
+        np.add(j, self.kinds, out=self.j)
+        odds = self.o = self.odds.take(self.j)
+        mixed = odds[0] + odds[1]
         mixed += 2048
         np.maximum(mixed, 0, out=mixed)
         np.minimum(mixed, 4095, out=mixed)
-        self.p = _SQUASH.take(mixed)  # of 4096
-        self.cut = self.p << 20  # of 2**32
-        self.i1, self.i2, self.j1, self.j2, self.e1, self.e2, self.c1, self.c2 = i1, i2, j1, j2, e1, e2, c1, c2
+        self.p = _SQUASH.take(mixed)
 
     def learn(self, x: np.ndarray, group: np.ndarray, hit: np.ndarray) -> None:
-        want = hit * np.int32(65535)
-        for odds, j, q in ((self.odds2, self.j2, self.q2), (self.odds1, self.j1, self.q1)):
-            step = want - q
-            step >>= 5
-            step += q
-            odds[j] = step
-        error = hit * np.int64(4095)
+        """Takes in the ids at these places."""
+        error = hit.astype(np.int32)
+        error <<= 12
         error -= self.p
-        for w, s in ((self.w2, self.s2), (self.w1, self.s1)):
-            step = s * error
-            step >>= 10
-            w += step
-            np.maximum(w, -(1 << 19), out=w)
-            np.minimum(w, 1 << 19, out=w)
-        fresh = (x << 4) + np.int32(1)
-        same = (self.r1 == x) & (self.c1 > 0)
-        self.seen1[self.i1] = np.where(same, self.e1 + (self.c1 < 15), np.where(self.c1 < 2, fresh, self.e1 - 1))
-        same = (self.r2 == x) & (self.c2 > 0)
-        self.seen2[self.i2] = np.where(same, self.e2 + (self.c2 < 15), fresh)
-        self.p2, self.p1 = self.p1, x.astype(np.int64)
-        draw = (_ROWS > group.astype(np.int16)) * _FREE
+        error >>= STEP
+        self.o += error
+        self.odds[self.j] = self.o
+        c, e, same = self.c, self.e, self.r == x
+        other = ~same
+        e += same & (c < 15)
+        e -= other
+        c -= 2
+        other &= c.view(np.uint32) >= _KEPT
+        self.seen[self.i] = np.where(other, x << 5 | 1, e)
+        p = x.view(np.uint32)
+        self.p2, self.p1 = self.p1 * _SECOND, p
+        draw, inner = self.draw, self.classes[1:CLASSES]
+        np.subtract(group, _ROWS, out=draw)
+        draw >>= 15
+        draw &= _FREE
         draw += _BELOW
-        draw -= self.classes
+        draw -= inner
         draw >>= RATE
-        self.classes += draw
+        inner += draw
 
 
 def encode(ids: np.ndarray) -> dict[str, bytes | int]:
@@ -213,64 +219,57 @@ def encode(ids: np.ndarray) -> dict[str, bytes | int]:
     padded[:n] = place
     steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     m = _Models(lanes, header)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << TOP) - 1, np.int64)
-    width = BLOCK * 3 // 4
-    digits, filled, row = np.empty(lanes * width, np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
-    flat = m.classes.ravel()
-    for t, x in enumerate(steps):
-        if not t % 32 and int(filled.max()) + 128 > width:  # an id has four digits at most
-            digits, width = np.concatenate([digits, np.empty(lanes * BLOCK // 2, np.uint32)]), width + BLOCK // 2
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << TOP, np.uint64)
+    span -= np.uint64(1)
+    row = np.arange(lanes)
+    digits, at = np.empty((BLOCK + 2) * lanes, np.uint64), row.copy()  # an id has one digit at most
+    flat = m.classes.view(np.uint16).ravel()
+    u12, u14, u31, u32 = (np.uint64(k) for k in (12, CLASS_BITS, 31, 32))
+    keep = np.uint64((1 << 31) - 1)
+    for x in steps:
         m.predict()
         hit = x == m.a
         group = header.group.take(x)
-        cell = group * lanes
+        cell = group * np.int64(lanes)
         cell += row
-        left = (1 << 32) - m.cut
-        below = (left * flat.take(cell)) >> CLASS_BITS
+        cut = span >> u12
+        cut *= m.p.view(np.uint32)
+        rest = span - cut
+        rest >>= u14
+        below = flat.take(cell)
         cell += lanes
-        wide = ((left * flat.take(cell)) >> CLASS_BITS) - below
-        a = (wide * header.low.take(x)) >> header.bits
-        b = (wide * header.high.take(x)) >> header.bits
-        part = span >> 32
-        b -= a
-        a += below
-        a += m.cut
-        a *= ~hit
-        a *= part
-        low += a
-        np.multiply(part, np.where(hit, m.cut, b), out=span)
-        need = span < MANY
-        digits[filled * lanes + row] = low >> 40  # written over unless the digit is done
-        filled += need
-        low = np.where(need, (low & (MANY - 1)) << 16, low)
-        span <<= need * 16
-        i = np.flatnonzero(span < MANY)
-        while len(i):
-            at = filled[i] * lanes + i
-            l = low[i]
-            digits[at] = l >> 40
-            filled[i] += 1
-            low[i] = (l & (MANY - 1)) << 16
-            s = span[i] << 16
-            span[i] = s
-            i = i[s < MANY]
+        share = flat.take(cell)
+        share -= below
+        add = rest * below
+        add += cut
+        rest *= share
+        rest >>= header.bits
+        add += rest * header.low.take(x)
+        rest *= header.size.take(x)
+        add *= ~hit
+        low += add
+        span = np.where(hit, cut, rest)
+        need = span < _MANY
+        digits[at] = low >> u31  # written over unless the digit is done
+        at += need * np.int64(lanes)
+        low = np.where(need, (low & keep) << u32, low)
+        span <<= need.astype(np.uint64) << np.uint64(5)
         m.learn(x, group, hit)
-    for k in (40, 24, 8):
-        digits[filled * lanes + row] = (low >> k) if k == 40 else (low >> k) & 0xFFFF
-        filled += 1
-    digits[filled * lanes + row] = (low & 0xFF) << 8
-    filled += 1
+    for d in (low >> u31, (low & keep) << np.uint64(1)):
+        digits[at] = d
+        at += lanes
+    filled = at // lanes
     del m, flat, steps, padded
-    out, carry = digits.reshape(width, lanes)[: int(filled.max())], np.zeros(lanes, np.int64)
-    for k in range(len(out) - 1, -1, -1):
-        live = filled > k
-        d = out[k] * live + carry
-        out[k] = d & 0xFFFF
-        carry = d >> 16
-    used = np.arange(len(out))[None, :] < filled[:, None]
+    rows = int(filled.max())
+    out, carry, whole = digits[: rows * lanes].reshape(rows, lanes), np.zeros(lanes, np.uint64), np.uint64((1 << 32) - 1)
+    for k in range(rows - 1, -1, -1):
+        d = np.where(filled > k, out[k], np.uint64(0)) + carry
+        out[k] = d & whole
+        carry = d >> u32
+    used = np.arange(rows)[None, :] < filled[:, None]
     raw = memoryview(np.asarray(ids, "<u4").tobytes())
     sums = [zlib.crc32(raw[4 * i * BLOCK : 4 * (i + 1) * BLOCK]) for i in range(lanes)]
-    return {"block": BLOCK, "header": header.pack(), "block_bytes": (2 * filled).astype("<u4").tobytes(), "block_crc": np.array(sums, "<u4").tobytes(), "payload": out.T[used].astype("<u2").tobytes()}
+    return {"block": BLOCK, "header": header.pack(), "block_bytes": (4 * filled).astype("<u4").tobytes(), "block_crc": np.array(sums, "<u4").tobytes(), "payload": out.T[used].astype("<u4").tobytes()}
 
 
 def decode(n: int, block: int, header: bytes, block_bytes: bytes, block_crc: bytes, payload: bytes, only: int | None = None) -> np.ndarray:
@@ -278,79 +277,63 @@ def decode(n: int, block: int, header: bytes, block_bytes: bytes, block_crc: byt
     if not n:
         return np.zeros(0, np.int64)
     state = Header.unpack(header)
-    filled, said = np.frombuffer(block_bytes, "<u4").astype(np.int64) // 2, np.frombuffer(block_crc, "<u4")
+    filled, said = np.frombuffer(block_bytes, "<u4").astype(np.int64) // 4, np.frombuffer(block_crc, "<u4")
     at = np.cumsum(filled) - filled
     lengths = np.full(len(filled), block)
     lengths[-1] = n - block * (len(filled) - 1)
     if only is not None:
-        payload = payload[2 * at[only] : 2 * (at[only] + filled[only])]
+        payload = payload[4 * at[only] : 4 * (at[only] + filled[only])]
         filled, said, lengths, at = filled[only : only + 1], said[only : only + 1], lengths[only : only + 1], at[:1]
     lanes = len(filled)
-    code16 = np.concatenate([np.frombuffer(payload, "<u2").astype(np.int64), np.zeros(8, np.int64)])
-    code = (code16[at] << 40) | (code16[at + 1] << 24) | (code16[at + 2] << 8) | (code16[at + 3] >> 8)
-    half = code16[at + 3] & 0xFF  # digits are read at eight bits' distance
-    at = at + 4
-    last = len(code16) - 1
-    span = np.full(lanes, (1 << TOP) - 1, np.int64)
+    u1, u12, u14, u31, u32 = (np.uint64(k) for k in (1, 12, CLASS_BITS, 31, 32))
+    digits = np.concatenate([np.frombuffer(payload, "<u4").astype(np.uint64), np.zeros(3, np.uint64)])
+    code = digits[at] << u31 | digits[at + 1] >> u1
+    digits = (digits[:-1] & u1) << u31 | digits[1:] >> u1  # the interval has 63 bits, so digits are read one bit later
+    at = at + 1
+    span = np.full(lanes, 1 << TOP, np.uint64)
+    span -= u1
     m = _Models(lanes, state)
-    flat, row = m.classes.ravel(), np.arange(lanes)
+    flat, row = m.classes.view(np.uint16).ravel(), np.arange(lanes)
     steps = np.empty((block, lanes), np.int32)
-    top = (1 << state.bits) - 1
+    inner, top, most = m.classes[1:CLASSES], np.uint64((1 << int(state.bits)) - 1), np.uint64((1 << CLASS_BITS) - 1)
+    shift = np.int64(state.bits)
     for t in range(int(lengths.max())):
         m.predict()
-        part = span >> 32
-        d = code // part
-        np.minimum(d, (1 << 32) - 1, out=d)
-        hit = d < m.cut
-        left = (1 << 32) - m.cut
-        rest = np.maximum(d - m.cut, 0)
-        rest += 1
-        v = rest << CLASS_BITS
-        v -= 1
-        v //= left
-        c = np.add.reduce((m.classes[1:CLASSES] <= v.astype(np.int16)).view(np.int8), 0, np.int8).astype(np.int64)
+        cut = span >> u12
+        cut *= m.p.view(np.uint32)
+        hit = code < cut
+        rest = span - cut
+        rest >>= u14
+        left = code - cut
+        left *= ~hit
+        v = left // rest
+        np.minimum(v, most, out=v)
+        c = np.add.reduce((inner <= v.astype(np.int16)).view(np.int8), 0, np.int8).astype(np.int64)
         cell = c * lanes
         cell += row
-        below = (left * flat.take(cell)) >> CLASS_BITS
+        below = flat.take(cell)
         cell += lanes
-        wide = ((left * flat.take(cell)) >> CLASS_BITS) - below
-        rest -= below
-        rest <<= state.bits
-        rest -= 1
-        rest //= wide
-        np.minimum(rest, top, out=rest)
-        np.maximum(rest, 0, out=rest)
-        c <<= state.bits
-        c += rest
+        share = flat.take(cell)
+        share -= below
+        left -= rest * below
+        rest *= share
+        rest >>= state.bits
+        v = left // rest
+        np.minimum(v, top, out=v)
+        c <<= shift
+        c += v.view(np.int64)
         x = np.where(hit, m.a, state.at.take(c))
-        a = (wide * state.low.take(x)) >> state.bits
-        b = (wide * state.high.take(x)) >> state.bits
-        b -= a
-        a += below
-        a += m.cut
-        a *= ~hit
-        a *= part
-        code -= a
-        np.multiply(part, np.where(hit, m.cut, b), out=span)
-        need = span < MANY
-        next_ = code16.take(at, mode="clip")
-        code = np.where(need, (code << 16) | (half << 8) | (next_ >> 8), code)
-        half = np.where(need, next_ & 0xFF, half)
+        left -= rest * state.low.take(x)
+        rest *= state.size.take(x)
+        code = np.where(hit, code, left)
+        span = np.where(hit, cut, rest)
+        need = span < _MANY
+        code = np.where(need, code << u32 | digits.take(at, mode="clip"), code)
         at += need
-        span <<= need * 16
-        i = np.flatnonzero(span < MANY)
-        while len(i):
-            here = at[i]
-            next_ = code16[np.minimum(here, last)]
-            code[i] = (code[i] << 16) | (half[i] << 8) | (next_ >> 8)
-            half[i] = next_ & 0xFF
-            at[i] = here + 1
-            s = span[i] << 16
-            span[i] = s
-            i = i[s < MANY]
+        span <<= need.astype(np.uint64) << np.uint64(5)
         steps[t] = x
         m.learn(x, state.group.take(x), hit)
-    ids = state.names[steps.T[np.arange(block) < lengths[:, None]]]
+    ids = state.names.take(np.ascontiguousarray(steps.T).ravel()[: int(lengths.sum())])  # only the last block is shorter
     raw = memoryview(ids.astype("<u4").tobytes())
     for i, sum_ in enumerate(said.tolist()):
         if zlib.crc32(raw[4 * i * block : 4 * (i + 1) * block]) != sum_:

@@ -96,6 +96,23 @@ def test_one_block_alone():
     assert (_coder.decode(len(ids), **code) == ids).all()
 
 
+def test_survey_counts_every_id():
+    """Followers and neighbours in blocks at places that no stride of four or eight meets."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(100, 104, 1 << 20)
+    ids[1::4], ids[2::4] = 5, 7
+    header, place = _coder._survey(ids)
+    assert (header.names[place] == ids).all() and (header.times == np.bincount(ids)[header.names]).all()
+    slot = int((np.flatnonzero(header.names == 5).astype(np.uint32) * _coder._MULTIPLIERS[0] >> _coder._SHIFT)[0])
+    assert header.names[header.follower[slot]] == 7 and header.sure[slot] == 31
+    block = np.arange(1 << 20) // _coder.BLOCK
+    ids = rng.integers(20, 30, 1 << 20) + 10 * (block % 2)
+    ids[::8] = 1
+    names = _coder._survey(ids)[0].names
+    low, high = np.flatnonzero((names >= 20) & (names < 30)), np.flatnonzero(names >= 30)
+    assert low.max() < high.min() or high.max() < low.min()
+
+
 def test_fewer_bits_than_order_0():
     """All parts of the code together, on the driver's documents."""
     import pyarrow.parquet as pq
