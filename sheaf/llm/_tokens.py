@@ -106,6 +106,9 @@ for _c in range(33, 127):
     (_LETTER if chr(_c).isalpha() else _MARK)[_c] = not chr(_c).isdigit()
 _WIDE = np.zeros(256, bool)  # first bytes of characters among which some are white space
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_KINDS = _SOLID * np.uint8(1) + _LETTER * np.uint8(2) + _MARK * np.uint8(4) + _WIDE * np.uint8(8)
+#: Bits of a hash by which a piece is looked for first; pieces encoded in one string.
+FRONT_BITS, TOGETHER = 20, 64
 
 
 class Pieces:
@@ -124,7 +127,7 @@ class Pieces:
             self._clear()
 
     def _clear(self) -> None:
-        self.kept |= {"key": np.zeros(0, np.uint64), "slot": np.zeros(0, np.int32), "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int32), "used": 0, "n": 0, "size": np.zeros(1 << 16, np.int32), "eight": np.zeros(1 << 16, np.uint64), "eight_at": np.zeros(1 << 16, np.int32), "eights": 0}
+        self.kept |= {"key": np.zeros(0, np.uint64), "slot": np.zeros(0, np.int32), "ids": np.zeros(1 << 16, np.int32), "begin": np.zeros(1 << 16, np.int32), "used": 0, "n": 0, "size": np.zeros(1 << 16, np.int32), "eight": np.zeros(1 << 16, np.uint64), "eight_at": np.zeros(1 << 16, np.int32), "eights": 0, "front": np.zeros(1 << FRONT_BITS, np.int32)}
 
     def _room(self, name: str, n: int) -> None:
         while n > len(self.kept[name]):
@@ -141,12 +144,18 @@ class Pieces:
         kept["eight"][held : held + len(number)] = number
         kept["eights"] = held + len(number)
         good = [i for i, b in enumerate(names) if _SOLID[b[-1]] and (_SOLID[b[0]] or (b[0] == 32 and len(b) > 1 and _SOLID[b[1]]))]
-        ids = encode(self.path, b"\n".join([names[i] for i in good]).decode())  # breaks stand around each line break
-        ends = np.cumsum(np.array([len(names[i]) + 1 for i in good], np.int64))
-        starts = ends - np.array([len(names[i]) + 1 for i in good], np.int64)
+        spaced = [i for i in good if names[i][0] == 32]  # breaks stand before their spaces, and around each line break between the others
+        bare = [i for i in good if names[i][0] != 32]
+        good = spaced + bare
+        joined = [b"".join([names[i] for i in spaced[k : k + TOGETHER]]).decode() for k in range(0, len(spaced), TOGETHER)]
+        found = load(self.path).encode_batch_fast([*joined, b"\n".join([names[i] for i in bare]).decode()], add_special_tokens=False)
+        ids = np.concatenate([np.array(f.ids, np.int64) for f in found])
+        gap = np.repeat([0, 1], [len(spaced), len(bare)])
+        room = np.array([len(names[i]) for i in good], np.int64) + gap
+        ends = np.cumsum(room)
         bytes_ = byte_lengths(self.path)[ids]
         at = np.cumsum(bytes_) - bytes_
-        first, last = np.searchsorted(at, starts), np.searchsorted(at, ends - 1)
+        first, last = np.searchsorted(at, ends - room), np.searchsorted(at, ends - gap)
         counts = np.zeros(len(names), np.int64)
         counts[good] = last - first
         others = {i: encode(self.path, names[i].decode()) for i in set(range(len(names))).difference(good)}
@@ -168,20 +177,56 @@ class Pieces:
         kept["key"], kept["slot"] = np.insert(kept["key"], place, keys), np.insert(kept["slot"], place, np.arange(n, n + len(names), dtype=np.int32))
         kept["n"], kept["used"] = n + len(names), used + len(flat)
 
+    def _slots(self, keys: np.ndarray, size: np.ndarray, at8: np.ndarray, steps: np.ndarray, number: np.ndarray, name) -> np.ndarray | None:
+        """Where pieces are kept, new ones from now on. None if two that differ have one hash; nothing if the memory had to be emptied."""
+        kept = self.kept
+
+        def eights(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(numbers of some pieces on end, each one's place in its piece, where each piece's begin)"""
+            upto = np.cumsum(steps[of]) - steps[of]
+            inner = np.arange(int(steps[of].sum())) - np.repeat(upto, steps[of])
+            return number[np.repeat(at8[of], steps[of]) + inner], inner, upto
+
+        unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        like = first[which]
+        if (size != size[like]).any():
+            return None
+        own, inner, _ = eights(np.arange(len(keys)))
+        if (own != number[np.repeat(at8[like], steps) + inner]).any():
+            return None
+        at = np.minimum(np.searchsorted(kept["key"], unique), max(0, len(kept["key"]) - 1))
+        known = kept["key"][at] == unique if len(kept["key"]) else np.zeros(len(unique), bool)
+        slot, ours = kept["slot"][at[known]], first[known]
+        if (kept["size"][slot] != size[ours]).any():
+            return None
+        own, inner, _ = eights(ours)
+        if (own != kept["eight"][np.repeat(kept["eight_at"][slot], steps[ours]) + inner]).any():
+            return None
+        new = np.flatnonzero(~known)
+        if len(new):
+            if kept["n"] and (kept["n"] + len(new) > MEMORY or kept["eights"] > 4 * MEMORY or kept["used"] > 8 * MEMORY):
+                self._clear()
+                return new[:0]
+            f = first[new]
+            own, _, upto = eights(f)
+            self._add(unique[new], [name(i) for i in f.tolist()], own, upto, size[f])
+        return kept["slot"][np.searchsorted(kept["key"], unique)][which]
+
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, ids per text) of a flat view."""
         data, offsets = texts.data, texts.offsets
         n, kept = len(data), self.kept
         if not n:
             return np.zeros(0, np.int64), np.zeros(texts.n, np.int64)
-        odd = np.flatnonzero(_WIDE[data])
+        kinds = _KINDS[data]
+        odd = np.flatnonzero(kinds > 7)
         special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
         whole = np.zeros(texts.n, bool)
         whole[np.searchsorted(offsets, np.concatenate([odd, special]), "right") - 1] = True
-        solid = _SOLID[data]
+        solid = (kinds & 1).view(bool)
         begin = np.zeros(n, bool)
         before = solid[:-1]
-        begin[1:] = before & ((data[1:] == 32) | (data[1:] == 10)) | _LETTER[data[:-1]] & _MARK[data[1:]]
+        begin[1:] = before & ((data[1:] == 32) | (data[1:] == 10)) | (kinds[:-1] << 1 & kinds[1:] & 4).astype(bool)
         begin[2:] |= solid[2:] & (data[1:-1] == 10) & solid[:-2]
         filled = np.flatnonzero(np.diff(offsets))
         heads = offsets[filled]
@@ -195,35 +240,24 @@ class Pieces:
         size = ends - starts
         number, place, at8 = texts.eights(starts, ends)
         keys = hash_of(number, place, at8, size)
-        unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
         steps = np.diff(at8, append=len(number))
-        like = first[which]
-        clash = bool((size != size[like]).any()) or bool((number != number[np.repeat(at8[like], steps) + place]).any())
-        for attempt in (0, 1):
-            at = np.minimum(np.searchsorted(kept["key"], unique), max(0, len(kept["key"]) - 1))
-            known = kept["key"][at] == unique if len(kept["key"]) else np.zeros(len(unique), bool)
-            if known.any():
-                slot, ours = kept["slot"][at[known]], first[known]
-                clash = clash or bool((kept["size"][slot] != size[ours]).any())
-                if not clash:
-                    whose = np.repeat(np.arange(len(ours)), steps[ours])
-                    inner = np.arange(len(whose)) - np.repeat(np.cumsum(steps[ours]) - steps[ours], steps[ours])
-                    clash = bool((kept["eight"][kept["eight_at"][slot][whose] + inner] != number[at8[ours][whose] + inner]).any())
-            if clash:
-                found = [encode(self.path, data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                return np.concatenate(found), np.array([len(f) for f in found], np.int64)
-            new = np.flatnonzero(~known)
-            if not len(new):
-                break
-            if attempt == 0 and (kept["n"] + len(new) > MEMORY or kept["eights"] > 4 * MEMORY or kept["used"] > 8 * MEMORY):
-                self._clear()
-                new = np.arange(len(unique))
-            f = first[new]
-            whose = np.repeat(np.arange(len(f)), steps[f])
-            upto = np.cumsum(steps[f]) - steps[f]
-            own = number[at8[f][whose] + np.arange(len(whose)) - upto[whose]]
-            self._add(unique[new], [data[a:b].tobytes() for a, b in zip(starts[f].tolist(), ends[f].tolist())], own, upto, size[f])
-        slot = kept["slot"][np.searchsorted(kept["key"], unique)][which]
+        here = (keys >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
+        slot = kept["front"].take(here)
+        known = np.zeros(len(keys), bool)
+        if kept["n"]:
+            known = kept["size"].take(slot) == size
+            differ = kept["eight"].take(np.repeat(kept["eight_at"].take(slot), steps) + place, mode="clip") != number
+            known[np.searchsorted(at8, np.flatnonzero(differ), "right") - 1] = False
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            found = self._slots(keys[rest], size[rest], at8[rest], steps[rest], number, lambda i: data[starts[rest[i]] : ends[rest[i]]].tobytes())
+            if found is None:  # two pieces that differ have one hash
+                wholes = [encode(self.path, data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                return np.concatenate(wholes), np.array([len(f) for f in wholes], np.int64)
+            if not len(found):  # the memory was full and is empty now
+                return self.encode(texts)
+            slot[rest] = found
+            kept["front"][here[rest]] = found
         from_ = kept["begin"][slot].astype(np.int64)
         counts = kept["begin"][slot + 1] - from_
         upto = np.cumsum(counts)
