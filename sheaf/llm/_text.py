@@ -152,16 +152,6 @@ class Texts:
         spans = (total[ends] - total[starts]) * _power("inverse", _INVERSE, len(self.data) + 1)[starts]
         return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def grams(self, size: int) -> np.ndarray:
-        """64-bit hash of each run of ``size`` bytes (a few dozen at most), runs over the ends of texts among them."""
-        n, prefix = len(self.data), self.prefix()
-        spans = prefix[size:] - prefix[: n + 1 - size]
-        spans *= _power("inverse", _INVERSE, n + 1)[: len(spans)]
-        spans ^= spans >> np.uint64(31)
-        spans *= np.uint64(0x94D049BB133111EB)
-        spans ^= spans >> np.uint64(29)
-        return spans
-
     def points(self) -> tuple[np.ndarray, np.ndarray]:
         """Code points of all texts on end, and where each text begins among them."""
         if self._points is None:

@@ -37,7 +37,10 @@ SPAN = SIZE - GRAM + 1
 CHUNK_BYTES = 2 << 20
 #: Bytes of text for which there is one part of all anchors: a part's task gets about as many.
 PART_BYTES = 8 << 20
-_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Places whose grams are hashed at a time.
+TILE = 1 << 15
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def _words(text: np.ndarray, more: int) -> np.ndarray:
@@ -50,6 +53,16 @@ def _words(text: np.ndarray, more: int) -> np.ndarray:
     return out[:n]
 
 
+def _by_number(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 on, by 16 bits at a time."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    bits = 16
+    while int(x.max()) >> bits:
+        order = order[np.argsort((x[order] >> bits).astype(np.uint16), kind="stable")]
+        bits += 16
+    return order
+
+
 def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of all suffixes of a byte array in ascending order of their first ``depth`` bytes (at least; equal ones in
     any order). A suffix that ends sorts before its continuations."""
@@ -60,9 +73,7 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     rise = np.zeros(n, bool)
     differs = np.flatnonzero(text[1:] != text[:-1])
     up = text[1:][differs] > text[:-1][differs]
-    run = np.searchsorted(differs, np.arange(n - 1))
-    inside = run < len(differs)
-    rise[: n - 1][inside] = up[run[inside]]
+    rise[: len(differs) and differs[-1] + 1] = np.repeat(up, np.diff(differs, prepend=-1))
     direct = np.flatnonzero(rise)
     eight = _words(text, depth + 16)
     words = -(-(depth + 8) // 8)
@@ -73,7 +84,9 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(open_):
             break
         key = eight[direct[order[open_]] + 8 * k]
-        rank = np.lexsort((key, group[open_])) if k else np.argsort(key, kind="stable")
+        rank = np.argsort(key)
+        if k:
+            rank = rank[_by_number(group[open_][rank])]
         order[open_] = order[open_][rank]
         key, own = key[rank], group[open_]
         new = np.ones(len(open_), bool)
@@ -141,16 +154,37 @@ def repeated_windows(strings: np.ndarray, lengths: np.ndarray, owner: np.ndarray
     return flagged
 
 
-def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
-    """best(x[i], ..., x[i + size - 1]) for all i; the last ones look at what is left."""
-    have, step = x.copy(), 1
-    while 2 * step <= size:
-        have[:-step] = best(have[:-step], have[step:])
-        step *= 2
-    if step < size:
-        rest = size - step
-        have[:-rest] = best(have[:-rest], have[rest:])
-    return have
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, a view."""
+    return np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), 0, (1,))
+
+
+def _anchors(data: np.ndarray) -> np.ndarray:
+    """Of the window that begins at each place, the least hash of its grams and the complement of that gram's place, by
+    which the last of equal ones is least; a tile at a time, so that all that is held for it stays in the cache."""
+    n = len(data) - SIZE + 1
+    words = _eights(data)
+    out, buffers = np.empty(n, np.uint64), np.empty((2, TILE + SPAN + 8), np.uint64)
+    for a in range(0, n, TILE):
+        b = min(n, a + TILE)
+        k = b - a + SPAN - 1
+        word = words[a : a + k + 8].copy()
+        x, y = buffers[0, :k], buffers[1, :k]
+        np.multiply(word[:k], _ODD[0], out=x)
+        np.multiply(word[8:], _ODD[1], out=y)
+        x ^= y
+        np.right_shift(x, np.uint64(32), out=y)
+        x ^= y
+        x *= _ODD[2]
+        x &= _HIGH
+        x |= np.arange(int(_LOW) - a, int(_LOW) - a - k, -1).view(np.uint64)
+        step = 1
+        while 2 * step <= SPAN:
+            k -= step
+            np.minimum(x[:k], x[step : step + k], out=y[:k])
+            x, y, step = y, x, 2 * step
+        np.minimum(x[: b - a], x[SPAN - step : SPAN - step + b - a], out=out[a:b])
+    return out
 
 
 class Units:
@@ -164,42 +198,27 @@ class Units:
         self.anchor = self.string = np.zeros(0, np.uint64)
         if n < SIZE:
             return
-        grams = np.full(n, _LAST)
-        grams[: n - GRAM + 1] = texts.grams(GRAM)
-        least = _sliding(grams, SPAN, np.minimum)
-        ok = np.zeros(n + 1, np.int64)  # windows that lie in one text
+        key = _anchors(data)
         long = lengths >= SIZE
+        ok = np.zeros(len(key) + 1, np.int8)  # windows that lie in one text
         ok[offsets[:-1][long]] += 1
         ok[offsets[1:][long] - SIZE + 1] -= 1
-        window = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
-        if not len(window):
+        ok = np.cumsum(ok[:-1], dtype=np.int8).view(bool)
+        goes_on = ok[1:] & ok[:-1] & (key[1:] == key[:-1])
+        np.logical_not(goes_on, out=goes_on)
+        edge = ok.copy()
+        edge[1:] &= goes_on
+        self.first = np.flatnonzero(edge)
+        if not len(self.first):
             return
-        key = least[window]
-        place = self._last_place(grams, least, window, key)
-        new = np.ones(len(window), bool)
-        new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
-        begin = np.flatnonzero(new)
-        self.first = window[begin]
-        self.last = window[np.append(begin[1:], len(window)) - 1]
-        self.anchor = key[begin]
-        self.string = mix(texts.short_hashes(self.first, self.last + SIZE) + (place[begin] - self.first).astype(np.uint64))
+        ok[:-1] &= goes_on
+        self.last = np.flatnonzero(ok)
+        place = (key[self.first] & _LOW ^ _LOW).astype(np.int64)
+        words = _eights(data)
+        self.anchor = mix(words[place] + mix(words[place + 8] + np.uint64(1)))  # least hashes crowd together, this one doesn't
+        self.string = mix(texts.short_hashes(self.first, self.last + SIZE) + (place - self.first).astype(np.uint64))
         self.text = np.searchsorted(offsets, self.first, "right") - 1
 
-    @staticmethod
-    def _last_place(grams: np.ndarray, least: np.ndarray, window: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Of each window the last place of its least hash."""
-        tops = _sliding(least[::-1], SPAN, np.maximum)[::-1]  # of the windows that hold a place the greatest minimum
-        is_least = tops == grams
-        places = np.flatnonzero(is_least)
-        found = (np.cumsum(is_least, dtype=np.int32) - 1)[window + SPAN - 1]
-        place = places[found]
-        wrong = np.flatnonzero(grams[place] != key)
-        while len(wrong):  # an anchor of other windows stands behind it
-            found[wrong] -= 1
-            place[wrong] = places[found[wrong]]
-            wrong = wrong[grams[place[wrong]] != key[wrong]]
-        return place
-
 
 class _Chunk:
     """A chunk's texts and units, the same each time: rows in order of their number."""
@@ -210,14 +229,20 @@ class _Chunk:
         self.doc = self.table.column("doc_id").fill_null(-(1 << 63)).to_numpy().astype(np.int64)
         units = self.units = Units(self.texts)
         owner = self.doc[units.text]
-        order = np.lexsort((owner, units.string, units.anchor))
+        order = np.argsort(units.string)
         new = np.ones(len(order), bool)
         a, s = units.anchor[order], units.string[order]
-        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        self.rep = order[new]  # one unit of each kind: of the least document
+        new[1:] = s[1:] != s[:-1]
+        if (a[1:] != a[:-1])[~new[1:]].any():
+            order = np.lexsort((units.anchor, units.string))
+            a = units.anchor[order]
+            new[1:] |= a[1:] != a[:-1]
+        begin, own = np.flatnonzero(new), owner[order]
         self.kind = np.empty(len(order), np.int64)
-        self.kind[order] = np.cumsum(new) - 1
-        self.later = owner > owner[self.rep][self.kind]
+        self.kind[order] = group = np.cumsum(new) - 1
+        least = np.minimum.reduceat(own, begin) if len(begin) else own
+        self.rep = np.minimum.reduceat(np.where(own == least[group], order, len(order)), begin) if len(begin) else order  # one unit of each kind: of the least document
+        self.later = owner > least[self.kind]
         part = (units.anchor[self.rep] % np.uint64(parts)).astype(np.int64)
         self.order = np.argsort(part, kind="stable")  # kinds as they are sent
         self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
@@ -317,17 +342,15 @@ def _remove(parts: int, columns: list[str]):
         answers = answers.to_pylist()
         said = np.zeros(len(c.rep), np.uint8)
         n = len(c.texts.data)
-        windows: dict[int, np.ndarray] = {}
         for r in answers:
             if r["said"] is not None:
                 said[c.order[c.cuts[r["p"]] : c.cuts[r["p"] + 1]]] = np.frombuffer(r["said"], np.uint8)
-        begin = np.zeros(n + 1, np.int64)  # windows from first to last, both included
+        starts = np.zeros(n + 1, np.int8)  # windows from first to last, both included
         unit = np.flatnonzero(c.later | (said[c.kind] == 1))
-        np.add.at(begin, c.units.first[unit], 1)
-        np.add.at(begin, c.units.last[unit] + 1, -1)
-        starts = np.cumsum(begin[:-1]) > 0
-        by_kind = np.argsort(c.kind, kind="stable")
-        at_kind = np.searchsorted(c.kind[by_kind], np.arange(len(c.rep) + 1))
+        starts[c.units.first[unit]] += 1
+        starts[c.units.last[unit] + 1] -= 1
+        starts = np.cumsum(starts[:-1], dtype=np.int8).view(bool)
+        hot = np.zeros(len(c.rep), bool)
         for r in answers:
             if r["said"] is None:
                 kinds, size = np.frombuffer(r["kinds"], "<u4").astype(np.int64), np.frombuffer(r["size"], "<u1").astype(np.int64)
@@ -335,32 +358,35 @@ def _remove(parts: int, columns: list[str]):
                 ends = np.cumsum(size)
                 which = np.searchsorted(ends, flag, "right")
                 starts[c.units.first[c.rep[kinds[which]]] + flag - (ends - size)[which]] = True
-                # other units of the same kind and document
-                for k in np.unique(kinds[which]).tolist():
-                    for u in by_kind[at_kind[k] : at_kind[k + 1]].tolist():
-                        if u != c.rep[k]:
-                            a, b = int(c.units.first[c.rep[k]]), int(c.units.first[u])
-                            m = int(c.units.last[u]) - b + 1
-                            starts[b : b + m] |= starts[a : a + m]
-        change = np.zeros(n + SIZE + 1, np.int64)
-        at = np.flatnonzero(starts)
-        change[at] += 1
-        change[at + SIZE] -= 1
-        gone = np.cumsum(change[:n]) > 0
+                hot[kinds[which]] = True
+        for u in np.flatnonzero(hot[c.kind]).tolist():  # other units of the same kind and document
+            of = int(c.rep[c.kind[u]])
+            if u != of:
+                a, b = int(c.units.first[of]), int(c.units.first[u])
+                m = int(c.units.last[u]) - b + 1
+                starts[b : b + m] |= starts[a : a + m]
         offsets, data = c.texts.offsets, c.texts.data
-        total = np.concatenate([[0], np.cumsum(gone)])
-        removed = np.diff(total[offsets])
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        first = offsets[:-1][np.diff(offsets) > 0]
-        opens[first] = gone[first]
-        spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[offsets])
-        sums, kept = [], []
-        for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist()):
-            own = data[a:b] if not k else data[a:b][~gone[a:b]]
-            kept.append(own.tobytes())
-            sums.append(hashlib.sha256(kept[-1]).hexdigest())
-        return pa.table([c.table.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(sums), *([pa.array(kept, pa.binary())] if "kept" in columns else [])], names=columns)
+        edge = starts.copy()
+        edge[1:] &= ~starts[:-1]
+        first = np.flatnonzero(edge)
+        edge = starts
+        edge[:-1] &= ~edge[1:]
+        end = np.flatnonzero(edge) + SIZE
+        text = np.searchsorted(offsets, first, "right") - 1
+        apart = np.ones(len(first), bool)
+        apart[1:] = (first[1:] > end[:-1]) | (text[1:] != text[:-1])
+        first, text = first[apart], text[apart]
+        end = end[np.append(apart[1:], True)] if len(end) else end
+        spans = np.bincount(text, minlength=c.texts.n)
+        removed = np.bincount(text, end - first, c.texts.n).astype(np.int64)
+        gone = np.zeros(n + 1, np.int8)
+        gone[first] += 1
+        gone[end] -= 1
+        data = memoryview(data[~np.cumsum(gone[:-1], dtype=np.int8).view(bool)])
+        cuts = (offsets - np.concatenate([[0], np.cumsum(removed)])).tolist()
+        kept = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        sums = [hashlib.sha256(k).hexdigest() for k in kept]
+        return pa.table([c.table.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(sums, pa.string()), *([pa.array([k.tobytes() for k in kept], pa.binary())] if "kept" in columns else [])], names=columns)
 
     return remove
 

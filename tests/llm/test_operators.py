@@ -118,6 +118,19 @@ def test_suffix_order():
             assert [raw[i : i + 50] for i in got] == sorted(raw[i : i + 50] for i in range(n))
 
 
+def test_units_of_equal_windows():
+    """Equal windows lie in units with one anchor at one distance, across tiles and in runs of equal grams."""
+    rng = np.random.default_rng(5)
+    copy = rng.integers(97, 123, 400).astype(np.uint8)
+    texts = [rng.integers(97, 123, suffix_dedup.TILE - 200).astype(np.uint8), copy, np.full(90, 65, np.uint8), rng.integers(97, 123, 77).astype(np.uint8), copy, np.full(90, 65, np.uint8), copy[:49]]
+    units = suffix_dedup.Units(Texts(pa.array([t.tobytes().decode() for t in texts])))
+    begin = np.cumsum([0] + [len(t) for t in texts])
+    assert [int((units.last - units.first + 1)[units.text == i].sum()) for i in range(7)] == [max(0, len(t) - 49) for t in texts]
+    of = lambda i: [(a - begin[i], b - begin[i], k, s) for a, b, k, s, t in zip(units.first.tolist(), units.last.tolist(), units.anchor.tolist(), units.string.tolist(), units.text.tolist()) if t == i]
+    assert of(1) == of(4) and of(2) == of(5)
+    assert int(np.median(units.anchor >> np.uint64(32))) > 1 << 29  # spread over all of the bits that are sent
+
+
 def test_suffix_dedup(spark):
     rows = corpus() + [(500, "z" * 300), (501, "z" * 200 + "y"), (502, "日本" * 60), (503, "本日" * 60)]
     texts = {i: (t or "").encode() for i, t in rows}
