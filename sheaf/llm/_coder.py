@@ -26,15 +26,15 @@ import zlib
 
 import numpy as np
 
-BLOCK, CLASSES, HASH_BITS = 1024, 16, 10
+BLOCK, CLASSES, HASH_BITS = 1024, 8, 8
 #: Bits of the interval; below this width a digit is due.
 TOP = 63
 _MANY = np.uint64(1 << TOP - 32)
 #: Bits of a class's frequency, and least frequency of a class; the rate at which classes adapt.
-CLASS_BITS, LEAST, RATE = 14, 64, 4
-#: Bits of a frequency inside a class: of an interval of 31 bits at least, the candidate leaves a 64th part, the least class 8 bits
-#: less of it, so 17 are left. So a class has at most 131072 ids, all together 2097152.
-MOST_BITS = 17
+CLASS_BITS, LEAST, RATE = 14, 128, 5
+#: Bits of a frequency inside a class: of an interval of 31 bits at least, the candidate leaves a 64th part and the least class a 128th
+#: of that, so 18 bits are left. So a class has at most 262144 ids, all together 2097152.
+MOST_BITS = 18
 _PLACE_BITS = 21
 _SQUASH = np.array([min(4032, max(32, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int32)
 #: The rate at which log odds learn.
@@ -116,7 +116,7 @@ def _survey(ids: np.ndarray) -> tuple[Header, np.ndarray]:
     lengths = np.diff(np.append(heads, len(ids)))
     weight, mass = 1.0 / np.sqrt(times), np.sqrt(times / len(ids))
     x = np.cos(np.arange(n) * 1.7)
-    for _ in range(3):
+    for _ in range(2):
         x -= mass * float(mass @ x)
         of_block = np.add.reduceat((weight * x).take(place), heads) / lengths
         x = weight * np.bincount(place, np.repeat(of_block, lengths), n)
@@ -249,11 +249,13 @@ def encode(ids: np.ndarray) -> dict[str, bytes | int]:
         add *= ~hit
         low += add
         span = np.where(hit, cut, rest)
-        need = span < _MANY
-        digits[at] = low >> u31  # written over unless the digit is done
-        at += need * np.int64(lanes)
-        low = np.where(need, (low & keep) << u32, low)
-        span <<= need.astype(np.uint64) << np.uint64(5)
+        i = np.flatnonzero(span < _MANY)
+        here, part = at.take(i), low.take(i)
+        digits[here] = part >> u31
+        at[i] = here + lanes
+        part &= keep
+        low[i] = part << u32
+        span[i] = span.take(i) << u32
         m.learn(x, group, hit)
     for d in (low >> u31, (low & keep) << np.uint64(1)):
         digits[at] = d
@@ -327,10 +329,11 @@ def decode(n: int, block: int, header: bytes, block_bytes: bytes, block_crc: byt
         rest *= state.size.take(x)
         code = np.where(hit, code, left)
         span = np.where(hit, cut, rest)
-        need = span < _MANY
-        code = np.where(need, code << u32 | digits.take(at, mode="clip"), code)
-        at += need
-        span <<= need.astype(np.uint64) << np.uint64(5)
+        i = np.flatnonzero(span < _MANY)
+        here = at.take(i)
+        code[i] = code.take(i) << u32 | digits.take(here, mode="clip")
+        at[i] = here + 1
+        span[i] = span.take(i) << u32
         steps[t] = x
         m.learn(x, state.group.take(x), hit)
     ids = state.names.take(np.ascontiguousarray(steps.T).ravel()[: int(lengths.sum())])  # only the last block is shorter

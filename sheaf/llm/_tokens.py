@@ -10,6 +10,8 @@ from ._text import hash_of
 
 #: Pieces that a process remembers; when so many are held, it begins anew.
 MEMORY = 900_000
+#: The same where they are held in arrays, some 60 bytes each.
+KEPT = 1_500_000
 
 _loaded: dict[str, object] = {}
 
@@ -133,32 +135,37 @@ class Pieces:
         while n > len(self.kept[name]):
             self.kept[name] = np.concatenate([self.kept[name], np.zeros(len(self.kept[name]) // 2, self.kept[name].dtype)])
 
-    def _add(self, keys: np.ndarray, names: list[bytes], number: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """Encodes new pieces and keeps them and their bytes."""
-        kept = self.kept
+    def _add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, number: np.ndarray, begin: np.ndarray, alone: np.ndarray) -> None:
+        """Encodes new pieces and keeps them and their bytes; whole texts alone, as their white space might join a break."""
+        kept, many = self.kept, len(keys)
         n, held = kept["n"], kept["eights"]
         for name in ("size", "eight_at"):
-            self._room(name, n + len(names))
+            self._room(name, n + many)
         self._room("eight", held + len(number))
-        kept["size"][n : n + len(names)], kept["eight_at"][n : n + len(names)] = size, held + begin
+        kept["size"][n : n + many], kept["eight_at"][n : n + many] = size, held + begin
         kept["eight"][held : held + len(number)] = number
         kept["eights"] = held + len(number)
-        good = [i for i, b in enumerate(names) if _SOLID[b[-1]] and (_SOLID[b[0]] or (b[0] == 32 and len(b) > 1 and _SOLID[b[1]]))]
-        spaced = [i for i in good if names[i][0] == 32]  # breaks stand before their spaces, and around each line break between the others
-        bare = [i for i in good if names[i][0] != 32]
-        good = spaced + bare
-        joined = [b"".join([names[i] for i in spaced[k : k + TOGETHER]]).decode() for k in range(0, len(spaced), TOGETHER)]
-        found = load(self.path).encode_batch_fast([*joined, b"\n".join([names[i] for i in bare]).decode()], add_special_tokens=False)
-        ids = np.concatenate([np.array(f.ids, np.int64) for f in found])
-        gap = np.repeat([0, 1], [len(spaced), len(bare)])
-        room = np.array([len(names[i]) for i in good], np.int64) + gap
-        ends = np.cumsum(room)
+        blank = data[starts] == 32
+        good = _SOLID[data[starts + size - 1]] & (_SOLID[data[starts]] | blank & (size > 1) & _SOLID[data[np.minimum(starts + 1, len(data) - 1)]])
+        good &= ~alone
+        spaced, bare = np.flatnonzero(good & blank), np.flatnonzero(good & ~blank)
+        others = {i: encode(self.path, data[starts[i] : starts[i] + size[i]].tobytes().decode()) for i in np.flatnonzero(~good).tolist()}
+        good = np.concatenate([spaced, bare])
+        gap = np.repeat([0, 1], [len(spaced), len(bare)])  # breaks stand before the former's spaces, and around a line break after each of the latter
+        own = size[good]
+        ends, lead = np.cumsum(own + gap), np.cumsum(own) - own
+        begins, to = ends - own - gap, np.arange(int(own.sum()))
+        joined = np.full(int(ends[-1]) if len(ends) else 0, 10, np.uint8)
+        joined[to + np.repeat(begins - lead, own)] = data[to + np.repeat(starts[good] - lead, own)]
+        joined = joined.tobytes()
+        cuts = np.unique(np.concatenate([begins[::TOGETHER], begins[len(spaced) : len(spaced) + 1], ends[-1:]])).tolist()
+        found = load(self.path).encode_batch_fast([joined[a:b].decode() for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(f.ids, np.int64) for f in found)])
         bytes_ = byte_lengths(self.path)[ids]
         at = np.cumsum(bytes_) - bytes_
-        first, last = np.searchsorted(at, ends - room), np.searchsorted(at, ends - gap)
-        counts = np.zeros(len(names), np.int64)
+        first, last = np.searchsorted(at, begins), np.searchsorted(at, ends - gap)
+        counts = np.zeros(many, np.int64)
         counts[good] = last - first
-        others = {i: encode(self.path, names[i].decode()) for i in set(range(len(names))).difference(good)}
         for i, x in others.items():
             counts[i] = len(x)
         upto = np.cumsum(counts)
@@ -170,14 +177,14 @@ class Pieces:
             flat[upto[i] - len(x) : upto[i]] = x
         used = kept["used"]
         self._room("ids", used + len(flat))
-        self._room("begin", n + len(names) + 1)
+        self._room("begin", n + many + 1)
         kept["ids"][used : used + len(flat)] = flat
-        kept["begin"][n + 1 : n + 1 + len(names)] = used + upto
+        kept["begin"][n + 1 : n + 1 + many] = used + upto
         place = np.searchsorted(kept["key"], keys)
-        kept["key"], kept["slot"] = np.insert(kept["key"], place, keys), np.insert(kept["slot"], place, np.arange(n, n + len(names), dtype=np.int32))
-        kept["n"], kept["used"] = n + len(names), used + len(flat)
+        kept["key"], kept["slot"] = np.insert(kept["key"], place, keys), np.insert(kept["slot"], place, np.arange(n, n + many, dtype=np.int32))
+        kept["n"], kept["used"] = n + many, used + len(flat)
 
-    def _slots(self, keys: np.ndarray, size: np.ndarray, at8: np.ndarray, steps: np.ndarray, number: np.ndarray, name) -> np.ndarray | None:
+    def _slots(self, keys: np.ndarray, size: np.ndarray, at8: np.ndarray, steps: np.ndarray, number: np.ndarray, data: np.ndarray, starts: np.ndarray, alone: np.ndarray) -> np.ndarray | None:
         """Where pieces are kept, new ones from now on. None if two that differ have one hash; nothing if the memory had to be emptied."""
         kept = self.kept
 
@@ -204,12 +211,12 @@ class Pieces:
             return None
         new = np.flatnonzero(~known)
         if len(new):
-            if kept["n"] and (kept["n"] + len(new) > MEMORY or kept["eights"] > 4 * MEMORY or kept["used"] > 8 * MEMORY):
+            if kept["n"] and (kept["n"] + len(new) > KEPT or kept["eights"] > 4 * KEPT or kept["used"] > 8 * KEPT):
                 self._clear()
                 return new[:0]
             f = first[new]
             own, _, upto = eights(f)
-            self._add(unique[new], [name(i) for i in f.tolist()], own, upto, size[f])
+            self._add(unique[new], data, starts[f], size[f], own, upto, alone[f])
         return kept["slot"][np.searchsorted(kept["key"], unique)][which]
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +245,8 @@ class Pieces:
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], n)
         size = ends - starts
+        alone = np.zeros(len(starts), bool)
+        alone[np.searchsorted(starts, offsets[:-1][whole])] = True
         number, place, at8 = texts.eights(starts, ends)
         keys = hash_of(number, place, at8, size)
         steps = np.diff(at8, append=len(number))
@@ -250,7 +259,7 @@ class Pieces:
             known[np.searchsorted(at8, np.flatnonzero(differ), "right") - 1] = False
         rest = np.flatnonzero(~known)
         if len(rest):
-            found = self._slots(keys[rest], size[rest], at8[rest], steps[rest], number, lambda i: data[starts[rest[i]] : ends[rest[i]]].tobytes())
+            found = self._slots(keys[rest], size[rest], at8[rest], steps[rest], number, data, starts[rest], alone[rest])
             if found is None:  # two pieces that differ have one hash
                 wholes = [encode(self.path, data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 return np.concatenate(wholes), np.array([len(f) for f in wholes], np.int64)
@@ -258,10 +267,12 @@ class Pieces:
                 return self.encode(texts)
             slot[rest] = found
             kept["front"][here[rest]] = found
-        from_ = kept["begin"][slot].astype(np.int64)
-        counts = kept["begin"][slot + 1] - from_
+        from_ = kept["begin"].take(slot)
+        counts = kept["begin"].take(slot + 1) - from_
         upto = np.cumsum(counts)
-        ids = kept["ids"][np.arange(int(upto[-1])) + np.repeat(from_ - (upto - counts), counts)]
+        shift = np.repeat(from_ - (upto - counts), counts)
+        shift += np.arange(len(shift))
+        ids = kept["ids"].take(shift)
         total = np.concatenate([[0], upto])
         cuts = np.searchsorted(starts, offsets)
         return ids, np.diff(total[cuts])

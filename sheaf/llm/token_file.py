@@ -31,11 +31,10 @@ SCHEMA = "part int, segment int, before long, n_tokens long, doc_ids array<long>
 def _ids_of(texts: Texts, memory: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts on end, each with the end id; ids per text)."""
     found, counts = memory.encode(texts)
-    out = np.empty(len(found) + texts.n, np.int64)
-    ends = np.cumsum(counts + 1)
-    inner = np.ones(len(out), bool)
-    inner[ends - 1] = False
-    out[ends - 1], out[inner] = end, found
+    out = np.full(len(found) + texts.n, end, np.int64)
+    to = np.repeat(np.arange(texts.n), counts)
+    to += np.arange(len(found))
+    out[to] = found
     return out, counts + 1
 
 

@@ -86,6 +86,22 @@ def test_pieces_with_one_hash(monkeypatch):
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
+def test_pieces_when_the_memory_is_full(monkeypatch):
+    """Pieces with a space, without one and with odd white space, in texts that are met again after the memory was emptied."""
+    from sheaf.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "KEPT", 60)
+    monkeypatch.setattr(_tokens, "_loaded", {})
+    rng, pieces = np.random.default_rng(6), Pieces(default_path())
+    words = [" cat", "cat", ".", "\n", " über", "Wort", "  ", " 日本", "\u00a0", "\t", ",", " x" * 70, "\u00a0\u00a0", "7", " <|endoftext|>"]
+    for _ in range(40):
+        given = ["".join(rng.choice(words, rng.integers(0, 40))) + " " + "".join(map(chr, rng.integers(97, 123, 6))) for _ in range(5)] + ["", "a"]
+        ids, counts = pieces.encode(Texts(pa.array(given)))
+        want = [load(default_path()).encode(t, add_special_tokens=False).ids for t in given]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert pieces.kept["n"] < 200
+
+
 def test_one_block_alone():
     rng = np.random.default_rng(9)
     ids = np.concatenate([rng.integers(0, 90_000, 100_000), rng.zipf(1.3, 60_000) % 50_000, [2**32 - 1]])
