@@ -26,7 +26,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, CLASSES, HASH_BITS = 1024, 8, 8
+BLOCK, CLASSES, HASH_BITS = 1024, 8, 7
 #: Bits of the interval; below this width a digit is due.
 TOP = 63
 _MANY = np.uint64(1 << TOP - 32)
@@ -336,8 +336,8 @@ def decode(n: int, block: int, header: bytes, block_bytes: bytes, block_crc: byt
         span[i] = span.take(i) << u32
         steps[t] = x
         m.learn(x, state.group.take(x), hit)
-    ids = state.names.take(np.ascontiguousarray(steps.T).ravel()[: int(lengths.sum())])  # only the last block is shorter
-    raw = memoryview(ids.astype("<u4").tobytes())
+    ids = state.names.astype("<u4").take(np.ascontiguousarray(steps.T).ravel()[: int(lengths.sum())])  # only the last block is shorter
+    raw = memoryview(ids).cast("B")
     for i, sum_ in enumerate(said.tolist()):
         if zlib.crc32(raw[4 * i * block : 4 * (i + 1) * block]) != sum_:
             raise ValueError(f"block {i if only is None else only} is damaged")

@@ -104,7 +104,7 @@ def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataF
                 ends = np.cumsum(lengths)
                 start = begins[r["part"].as_py()] + r["before"].as_py() + ends - lengths
                 if digest:
-                    raw, cuts = memoryview(ids.astype("<u4").tobytes()), (4 * np.concatenate([[0], ends])).tolist()
+                    raw, cuts = memoryview(ids).cast("B"), (4 * np.concatenate([[0], ends])).tolist()
                     last = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())
                     yield pa.RecordBatch.from_arrays([r["doc_ids"].values, pa.array(start), pa.array(lengths), last], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 else:
